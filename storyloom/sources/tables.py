@@ -48,3 +48,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores; for costly steps on tables of a few files.
+
+    Tables with enough partitions, as all large ones, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
