@@ -107,25 +107,32 @@ def build_rules() -> dict[str, str]:
     return rules
 
 
+def compile_rules() -> tuple[dict[str, str], str, str]:
+    """The checked rules, and as ranges of code points the signs they may start at and those that join the sign before."""
+    rules = build_rules()
+    points = [k for k in range(0x110000) if not 0xD800 <= k <= 0xDFFF]
+    marks = {k for k in points if unicodedata.category(chr(k)) in ("Mn", "Mc", "Me")}
+    # accents of look-alike letters: decomposed first, so that the letter below the accent is seen
+    composed = {k for k in points if unicodedata.decomposition(chr(k)) and unicodedata.normalize("NFD", chr(k))[:1] in rules}
+    jamo = {*range(0x1100, 0x1200), *range(0xA960, 0xA980), *range(0xD7B0, 0xD800)}
+    follow = marks | jamo | {ord(s) for s, t in rules.items() if t == ""} | {0xFF9E, 0xFF9F}
+    return rules, _ranges({ord(s[0]) for s in rules} | composed | follow), _ranges(follow)
+
+
 class Transducer:
     """The compiled rules: a trie over code points, read with longest match, and its one-pass runner."""
 
-    def __init__(self, rules: dict[str, str]):
+    def __init__(self, compiled: tuple[dict[str, str], str, str]):
+        rules, active, follow = compiled
         self.trie: dict = {}
         for source, target in rules.items():
             node = self.trie
             for c in source:
                 node = node.setdefault(c, {})
             node[""] = target
-        # accents of look-alike letters: decomposed first, so that the letter below the accent is seen
-        marks = {k for k in range(0x110000) if not 0xD800 <= k <= 0xDFFF and unicodedata.category(chr(k)) in ("Mn", "Mc", "Me")}
-        composed = {k for k in range(0x80, 0x110000) if not 0xD800 <= k <= 0xDFFF and unicodedata.normalize("NFD", chr(k))[:1] in rules}
-        jamo = {*range(0x1100, 0x1200), *range(0xA960, 0xA980), *range(0xD7B0, 0xD800)}
-        active = {ord(s[0]) for s in rules} | marks | composed | jamo
-        self.active = re.compile("[" + _ranges(active) + "]")
-        follow = marks | jamo | {ord(s) for s, t in rules.items() if t == "" and len(s) == 1} | {0xFF9E, 0xFF9F}
-        # a stretch to work on: signs that change, each with the sign before it if marks join it, and what may join
-        self.stretch = re.compile("[^" + _ranges(follow) + "]?(?:[" + _ranges(follow) + "]+)|[" + _ranges(active) + "]")
+        self.active = re.compile(f"[{active}]")
+        # a stretch to work on: a grapheme cluster with marks or unseen signs, or a sign that changes
+        self.stretch = re.compile(f"[^{follow}]?[{follow}]+|[{active}]")
         self.known: dict[str, str] = {}
 
     def _emit(self, stretch: str) -> str:
@@ -175,29 +182,36 @@ def _ranges(points: set[int]) -> str:
     return "".join(out)
 
 
-_transducer: Transducer | None = None
+_transducers: dict[int, Transducer] = {}
+_compiled: list[tuple[dict[str, str], str, str]] = []
+
 
+def compiled_rules() -> tuple[dict[str, str], str, str]:
+    """The rules of this process, compiled on first use."""
+    if not _compiled:
+        _compiled.append(compile_rules())
+    return _compiled[0]
 
-def transducer() -> Transducer:
-    """The transducer of this process, compiled on first use."""
-    global _transducer
-    if _transducer is None:
-        _transducer = Transducer(build_rules())
-    return _transducer
+
+def transducer(compiled: tuple[dict[str, str], str, str] | None = None) -> Transducer:
+    """The transducer of this process; workers get the compiled rules and need not derive them."""
+    compiled = compiled or compiled_rules()
+    key = hash((len(compiled[0]), compiled[1], compiled[2]))
+    if key not in _transducers:
+        _transducers[key] = Transducer(compiled)
+    return _transducers[key]
 
 
 def one_form(text: str | Column) -> Column:
     """The consistent form of a text column."""
+    compiled = compiled_rules()  # some 100 kB, whatever the data
 
     @F.arrow_udf("string")
     def form(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        run = transducer()
+        run = transducer(compiled)
         for texts in batches:
-            if pa.types.is_string(texts.type) and len(texts) > 1:
-                coded = texts.dictionary_encode()  # speakers and names repeat a lot
-                yield pa.array([run(t) for t in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
-            else:
-                yield pa.array([run(t) for t in texts.to_pylist()], pa.string())
+            coded = texts.dictionary_encode()  # speakers and names repeat a lot
+            yield pa.array([run(t) for t in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
 
     return form(F.col(text) if isinstance(text, str) else text)
 
