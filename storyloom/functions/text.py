@@ -11,7 +11,6 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,7 +24,8 @@ def _normal(form: str, text: Column) -> Column:
     @F.arrow_udf("string")
     def normal(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pc.utf8_normalize(texts, form=form)
+            # Arrow's own kernel leaves composed forms decomposed in some builds
+            yield pa.array([t if t is None or t.isascii() else unicodedata.normalize(form, t) for t in texts.to_pylist()], pa.string())
 
     return normal(text)
 

@@ -9,8 +9,11 @@ from storyloom.functions.text import chunk, language
 
 
 def dictionary(i18n: DataFrame) -> DataFrame:
-    """(text_id, lang, text_offset, row_id, text): each sentence once, the smallest row_id of equal places."""
-    rows = i18n.select("text_id", language(F.col("lang")).alias("lang"), "text_offset", "row_id", "text").dropna(subset=["text_id", "lang", "text_offset", "row_id"])
+    """(text_id, lang, text_offset, row_id, text): each sentence once, the smallest row_id of equal places.
+
+    Rows with a null in any of these are left out.
+    """
+    rows = i18n.select("text_id", language(F.col("lang")).alias("lang"), "text_offset", "row_id", "text").dropna()
     one = rows.groupBy("text_id", "lang", "text_offset").agg(F.min("row_id").alias("row_id"), F.min_by("text", "row_id").alias("text"))
     return one
 

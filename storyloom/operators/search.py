@@ -35,9 +35,11 @@ def literal_start(form: Column, query: str) -> Column:
 
 def regex_match(text: Column, pattern: str) -> tuple[Column, Column]:
     """(place from 0, length) of the first match of a safe pattern, case-sensitive; null if there is none."""
-    p = F.lit(safe_pattern(pattern))
-    at = F.regexp_instr(text, p) - 1
-    return F.when(at >= 0, at), F.when(at >= 0, F.length(F.regexp_substr(text, p)))
+    p = safe_pattern(pattern)
+    # the signs before the match, as Spark counts places of patterns in UTF-16 units
+    before = F.regexp_extract(text, f"(?s)^(.*?)(?-s:{p})", 1)
+    hit = text.rlike(p)
+    return F.when(hit, F.length(before)), F.when(hit, F.length(F.regexp_substr(text, F.lit(p))))
 
 
 def score(start: Column, base: int = 1000, bonus: Column | int = 0) -> Column:

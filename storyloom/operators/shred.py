@@ -121,7 +121,7 @@ def _compile(root: Group, keep: set[str]) -> list:
     return node(root, root.name, 1)
 
 
-def shred_value(value: object, plan: list, out: dict[str, tuple[list, list, list]]) -> None:
+def shred_value(value: object, plan: list | None, out: dict[str, tuple[list, list, list]]) -> None:
     """Append the entries of one parsed record to ``out``: column -> (repetition, definition, value)."""
 
     def empty(n: list, rep: int, level: int) -> None:
@@ -145,7 +145,8 @@ def shred_value(value: object, plan: list, out: dict[str, tuple[list, list, list
                 fill(c, obj.get(c[2]), rep)
             rep = depth
 
-    fill(plan, value, 0)
+    if plan:
+        fill(plan, value, 0)
 
 
 def shred(df: DataFrame, record: str, root: Group, keys: list[str], columns: list[str] | None = None) -> DataFrame:
@@ -260,11 +261,12 @@ def timeline_tables(df: DataFrame) -> dict[str, DataFrame]:
     """``activity_timelines`` as related tables ``activities``, ``events``, ``sources`` and ``references``.
 
     Every child has the ``row_id`` and ``activity_id`` of its row and the positions of its ancestors. ``activities``
-    has one row for each input row, whatever its ``events`` hold, and says in ``status`` whether they could be read.
+    has one row for each input row, whatever its ``events`` hold, and says in ``status`` whether they could be read; a
+    column of that name in the input gives way.
     """
     keys = ["row_id", "activity_id"]
     shredded = shred(df, "events", TIMELINE, keys)
-    out = {"activities": shred(df, "events", TIMELINE, [c for c in df.columns if c != "events"], [])}
+    out = {"activities": shred(df, "events", TIMELINE, [c for c in df.columns if c not in ("events", "status")], [])}
     number = {"time_year_start", "time_year_end", "source_location_line", "line_start", "line_end"}
     for path in LEVELS:
         group = chain(TIMELINE, path)[-1]
