@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,8 @@ TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pre-tokens a worker remembers; bounds its memory, not the result.
 REMEMBER = 300_000
+#: Signs encoded in one turn.
+TURN = 1_000_000
 
 
 def byte_signs() -> list[str]:
@@ -94,21 +97,29 @@ class Encoder:
         self.known: dict[str, list[int]] = {}
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        known = self.known
-        words = self.pre(text)
-        new = [w for w in dict.fromkeys(words) if w not in known]
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of several texts; the model is called once for all their new pre-tokens, as each call is dear."""
+        known, cut = self.known, [self.pre(t) if t else () for t in texts]
+        new = {w for words in cut for w in words if w not in known}
+        if len(known) + len(new) > REMEMBER:
+            known.clear()
+            new = {w for words in cut for w in words}
         if new:
-            if len(known) + len(new) > REMEMBER:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            mapped = [w.encode("utf-8").decode("latin-1").translate(self.to_signs) for w in new]
-            known.update(zip(new, self.model.encode(mapped, num_threads=1)))
-        out: list[int] = []
-        for w in words:
-            out += known[w]
-        return out
+            order = list(new)
+            mapped = [w.encode("utf-8").decode("latin-1").translate(self.to_signs) for w in order]
+            known.update(zip(order, self.model.encode(mapped, num_threads=1)))
+        return [list(chain.from_iterable(map(known.__getitem__, words))) for words in cut]
+
+    def in_turns(self, texts: list[str | None], most: int = TURN) -> Iterator[list[list[int]]]:
+        """``encode_many`` in turns of about ``most`` signs, so that long texts do not add up in memory."""
+        start, size = 0, 0
+        for k, t in enumerate(texts):
+            size += len(t) if t else 0
+            if size >= most or k + 1 == len(texts):
+                yield self.encode_many(texts[start : k + 1])
+                start, size = k + 1, 0
 
     def decode(self, ids: list[int]) -> str:
         signs = "".join(self.model.id_to_piece(i) for i in ids)
@@ -141,9 +152,10 @@ def with_ids(df: DataFrame, text: str, out: str = "ids", name: str = "byte_bpe_5
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = _encoder(model.value).encode
+        encoder = _encoder(model.value)
         for texts in batches:
-            yield pa.array([encode(t.as_py()) for t in texts], pa.list_(pa.int32()))
+            turns = [pa.array(x, pa.list_(pa.int32())) for x in encoder.in_turns(texts.to_pylist())]
+            yield pa.concat_arrays(turns) if turns else pa.array([], pa.list_(pa.int32()))
 
     return ids(F.col(text)).alias(out)
 
@@ -154,8 +166,8 @@ def token_counts(df: DataFrame, text: str, out: str = "tokens", name: str = "byt
 
     @F.arrow_udf("bigint")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = _encoder(model.value).encode
+        encoder = _encoder(model.value)
         for texts in batches:
-            yield pa.array([len(encode(t.as_py())) for t in texts], pa.int64())
+            yield pa.array([len(x) for turn in encoder.in_turns(texts.to_pylist()) for x in turn], pa.int64())
 
     return count(F.col(text)).alias(out)
