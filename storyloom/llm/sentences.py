@@ -90,7 +90,7 @@ LIST_BLANK = rf"{SPACE}(?<=^{SPACE}{{0,8}}(?:\d{{1,6}}[.{DOT})）]|[(（]\d{{1,6
 SURE_CLOSERS = "」』》〉】）］)\\]”’›"
 _NO_SMALL = rf"(?!{SPACE}*+(?:[—–-]++{SPACE}*+)?\p{{Ll}})(?!{SPACE}*+[,;:.!?…])"
 _EDGE = r"(?=[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}「『“‘„«]|$)"
-_CLOSE = rf"(?:[{CLOSERS}]|[\x{{A0}}\x{{202F}} ]»)[{SURE_CLOSERS}]*+"
+_CLOSE = rf"(?:[{CLOSERS}]|[\x{{A0}}\x{{202F}} {MASKS[8:]}]»)[{SURE_CLOSERS}]*+"
 
 #: Ends in scripts with spaces, and lines.
 SPACED_END = (
@@ -143,14 +143,20 @@ def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     t = t.withColumn("__sums", F.transform(steps, lambda c: F.aggregate(F.slice("__sizes", c * STEP + 1, F.lit(STEP)), F.lit(0), add)))
     t = t.withColumn("__bases", F.transform("__sums", lambda x, k: F.aggregate(F.slice("__sums", F.lit(1), k), F.lit(0), add)))
     within = lambda k: F.aggregate(F.slice("__sizes", step(k) * STEP + 1, k % STEP), F.lit(0), add)
-    at = F.transform("__pieces", lambda x, k: F.struct(x.alias("piece"), (F.element_at("__bases", step(k) + 1) + within(k)).alias("at")))
+    # the sums are named twice, or the optimiser would move their making into the lambda, once for every piece
+    base = lambda k: F.when(F.size("__bases") > step(k), F.element_at("__bases", step(k) + 1))
+    start = lambda k: base(k) + within(k)
+    restored = lambda x: F.translate(x, MASKS, MARKS)
+    plain = F.transform("__pieces", lambda x, k: F.struct(restored(x).alias("piece"), start(k).alias("at")))
+    # texts that hold the private-use signs themselves are cut from the original
+    exact = F.transform("__pieces", lambda x, k: F.struct(F.substr(F.col("__text"), start(k) + 1, F.length(x)).alias("piece"), start(k).alias("at")))
     clash = F.col("__text").rlike("[" + MASKS + SEPARATOR + "]")
-    t = t.select("__key", F.when(clash, F.col("__text")).alias("__whole"), F.explode(at).alias("p"))
-    t = t.select("__key", "__whole", "p.at", F.ltrim("p.piece", F.lit(WHITE)).alias("tail"), F.length("p.piece").alias("n"))
-    t = t.select("__key", "__whole", F.rtrim("tail", F.lit(WHITE)).alias("body"), (F.col("at") + F.col("n") - F.length("tail")).cast("bigint").alias("start_pos"))
-    t = t.where(F.length("body") > 0).withColumn("end_pos", F.col("start_pos") + F.length("body"))
-    own = F.coalesce(F.col("__whole").substr((F.col("start_pos") + 1).cast("int"), F.length("body")), F.translate("body", MASKS, MARKS))
-    return t.select(F.col("__key").alias(key), "start_pos", "end_pos", own.alias("sentence"))
+    # the outer form, as for the inner one the optimiser infers a filter and copies all of the above into it
+    t = t.select("__key", F.explode_outer(F.when(clash, exact).otherwise(plain)).alias("p"))
+    t = t.select("__key", "p.at", F.ltrim("p.piece", F.lit(WHITE)).alias("tail"), F.length("p.piece").alias("n"))
+    t = t.select("__key", F.rtrim("tail", F.lit(WHITE)).alias("sentence"), (F.col("at") + F.col("n") - F.length("tail")).cast("bigint").alias("start_pos"))
+    t = t.where(F.length("sentence") > 0)
+    return t.select(F.col("__key").alias(key), "start_pos", (F.col("start_pos") + F.length("sentence")).alias("end_pos"), "sentence")
 
 
 def found(documents: DataFrame) -> DataFrame:
