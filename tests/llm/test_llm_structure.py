@@ -209,6 +209,27 @@ def test_long_documents_go_in_blocks(spark, monkeypatch):
     assert got == {(k, 100 + k) for k in range(70)}
 
 
+def test_moves_over_any_distance_in_long_documents(spark, monkeypatch):
+    monkeypatch.setattr(align, "BLOCK", 20)
+    monkeypatch.setattr(align, "REACH", 15)
+    rng = random.Random(4)
+    said = [(s, v, t) for s in SUBJECTS for v in VERBS for t in THINGS]
+    said = rng.sample(said, 300)
+    numbers = {k for k in range(300) if k % 3}
+    a = [f"{s[1]}{v[1]}了{t[1]}" + (f"{k + 1000}次" if k in numbers else "") + "。" for k, (s, v, t) in enumerate(said)]
+    b = [f"{s[0]} {v[0]} the {t[0]}" + (f" {k + 1000} times" if k in numbers else "") + "." for k, (s, v, t) in enumerate(said)]
+    order = list(range(300))
+    moved = [3, 4, 90, 150, 201, 280]  # 3, 90, 150 and 201 hold no number
+    for k, to in zip(moved, (200, 201, 260, 10, 30, 100)):
+        order.remove(k), order.insert(to, k)
+    i = spark.createDataFrame([(k, "t", "CN", k, x) for k, x in enumerate(a)] + [(1000 + k, "t", "EN", n, b[k]) for n, k in enumerate(order)], "row_id bigint, text_id string, lang string, text_offset bigint, text string")
+    c = spark.createDataFrame([("t", ["CN", "EN"])], "text_id string, languages array<string>")
+    got = {tuple(r) for r in align.found(i, c).collect()}
+    truth = {(k, 1000 + k) for k in range(300)}
+    assert {(k, 1000 + k) for k in moved} <= got
+    assert len(got & truth) > 285 and len(got - truth) < 15
+
+
 # --- mixing --------------------------------------------------------------------------------------------------------
 def test_sainte_lague_against_plain_quotients():
     rng = random.Random(1)
