@@ -1,7 +1,7 @@
 """Entity names: alias groups, multi-pattern matching, span selection, relation hints.
 
 Alias groups are small reviewed tables; their size is checked before they are sent to the workers, and beyond it the
-names are joined by a shared trigram instead.
+names are joined by their first three signs, or all of a shorter name, instead. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns an automaton is built of at most; larger sets are joined by trigram.
+#: Patterns an automaton is built of at most; larger sets are joined by their heads.
 MOST_PATTERNS = 200_000
 
 
@@ -103,7 +103,7 @@ def mentions(texts: DataFrame, key: str, text: str, aliases: DataFrame, select:
     """(key, canonical, alias, start, stop) of the aliases (alias, canonical) that occur in the texts."""
     rows = aliases.select("alias", "canonical").where(F.length("alias") > 0).distinct().orderBy("alias", "canonical").limit(MOST_PATTERNS + 1).collect()
     if len(rows) > MOST_PATTERNS:
-        return _mentions_by_trigram(texts, key, text, aliases)
+        return _mentions_by_trigram(texts, key, text, aliases, select)
     spark = texts.sparkSession
     patterns = spark.sparkContext.broadcast([(r.alias, r.canonical) for r in rows])
     kind = texts.schema[key].dataType.simpleString()
@@ -125,15 +125,35 @@ def mentions(texts: DataFrame, key: str, text: str, aliases: DataFrame, select:
     return texts.select(key, text).mapInArrow(run, f"`{key}` {kind}, canonical string, alias string, start int, stop int")
 
 
-def _mentions_by_trigram(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
-    """As ``mentions`` without selection, for pattern sets of any size: an equality join on the first three signs."""
-    width = 3
-    at = F.sequence(F.lit(1), F.greatest(F.length(text) - 0, F.lit(1)))
-    pieces = texts.where(F.length(text) > 0).select(key, text, F.explode(at).alias("__at"))
-    pieces = pieces.withColumn("__head", F.substr(F.col(text), F.col("__at"), F.lit(width)))
-    names = aliases.select("alias", "canonical", F.substring("alias", 1, width).alias("__head")).where(F.length("alias") >= width)
-    hit = pieces.join(names, "__head").where(F.substr(F.col(text), F.col("__at"), F.length("alias")) == F.col("alias"))
-    return hit.select(key, "canonical", "alias", (F.col("__at") - 1).cast("int").alias("start"), (F.col("__at") - 1 + F.length("alias")).cast("int").alias("stop"))
+def _mentions_by_trigram(texts: DataFrame, key: str, text: str, aliases: DataFrame, select: bool = False) -> DataFrame:
+    """As ``mentions`` for pattern sets of any size: an equality join on the first three signs, or all of fewer."""
+    width = lambda n: F.least(n, F.lit(3))
+    rows = texts.where(F.length(text) > 0).select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__row"))
+    pieces = rows.select("*", F.explode(F.sequence(F.lit(1), F.length("__text"))).alias("__at"))
+    left = F.length("__text") - F.col("__at") + 1
+    pieces = pieces.withColumn("__width", F.explode(F.sequence(F.lit(1), width(left)))).withColumn("__head", F.substr("__text", "__at", "__width"))
+    names = aliases.select("alias", "canonical").where(F.length("alias") > 0).distinct()
+    names = names.select("*", width(F.length("alias")).alias("__width")).withColumn("__head", F.substr("alias", F.lit(1), "__width"))
+    hit = pieces.join(names, ["__width", "__head"]).where(F.substr(F.col("__text"), F.col("__at"), F.length("alias")) == F.col("alias"))
+    start = (F.col("__at") - 1).cast("int")
+    hit = hit.select("__row", F.col("__key").alias(key), F.length("__text").alias("__whole"), "canonical", "alias", start.alias("start"), (start + F.length("alias")).alias("stop"))
+    if not select:
+        return hit.select(key, "canonical", "alias", "start", "stop")
+    kind = texts.schema[key].dataType.simpleString()
+    found = hit.groupBy("__row", key, "__whole").agg(F.collect_list(F.struct("start", "stop", "canonical", "alias")).alias("__found"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for k, whole, spans in zip(*(batch[c].to_pylist() for c in range(3))):
+                words = {(x["start"], x["stop"]): x["alias"] for x in spans}
+                kept = select_spans([(x["start"], x["stop"], x["canonical"]) for x in spans], whole)
+                out += [(k, name, words[s, e], s, e) for s, e, name in kept]
+            cols = list(zip(*out)) or [()] * 5
+            types = (batch.schema[0].type, pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[key, "canonical", "alias", "start", "stop"])
+
+    return found.select(key, "__whole", "__found").mapInArrow(run, f"`{key}` {kind}, canonical string, alias string, start int, stop int")
 
 
 def containment(texts: DataFrame, key: str, text: str, phrases: DataFrame, phrase_key: str, phrase: str) -> DataFrame:

@@ -2,6 +2,8 @@ import re
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from storyloom.operators import entities, search, sections
 
 LINE = "document_id string, line_number int, line_type string, text string"
@@ -142,3 +144,12 @@ def test_relations_prefer_installed(spark):
     assert rows(merged) == [(1, "x", "y"), (2, "p", "q")]
     t = spark.createDataFrame([(7, "there is x and q"), (8, None)], "k int, text string")
     assert rows(entities.relation_hints(t, "k", "text", merged)) == [(7, "p", "q"), (7, "x", "y")]
+
+
+@pytest.mark.parametrize("select", [True, False])
+def test_many_patterns_keep_short_names_and_selection(spark, monkeypatch, select):
+    names = spark.createDataFrame([("凯", "K"), ("凯尔", "KE"), ("凯尔希", "KEX"), ("凯尔希医生", "DR"), ("尔希", "EX"), ("希", "X"), ("ab", "AB"), ("ab", "AB2"), ("b", "B"), ("", "none")], "alias string, canonical string")
+    texts = spark.createDataFrame([(1, "凯尔希医生和凯尔"), (2, "凯"), (3, "xabab"), (4, "b"), (5, ""), (6, None), (7, "😀ab凯尔希"), (7, "凯尔希ab")], "k int, text string")
+    few = rows(entities.mentions(texts, "k", "text", names, select))
+    monkeypatch.setattr(entities, "MOST_PATTERNS", 2)
+    assert rows(entities.mentions(texts, "k", "text", names, select)) == few and len(few) > 8
