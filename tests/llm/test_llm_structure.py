@@ -230,6 +230,23 @@ def test_moves_over_any_distance_in_long_documents(spark, monkeypatch):
     assert len(got & truth) > 285 and len(got - truth) < 15
 
 
+def test_statistics_over_all_sentences(spark):
+    said = [(s, v, t) for s in SUBJECTS for v in VERBS for t in THINGS[:6]]
+    rows_, row = [], 0
+    for d in range(0, len(said), 6):
+        for n, (s, v, t) in enumerate(said[d : d + 6]):
+            number = 1000 + d + n if (n // 2 + d // 6) % 2 else None  # half have no number, and end in words met there only
+            rows_.append((row, f"t{d}", "CN", n, f"{s[1]}{v[1]}了{t[1]}" + (f"{number}次" if number else "甲乙")))
+            rows_.append((row + 1, f"t{d}", "EN", n, f"{s[0]} {v[0]} the {t[0]}" + (f" {number} times" if number else " upon opal")))
+            row += 2
+    i = spark.createDataFrame(rows_, "row_id bigint, text_id string, lang string, text_offset bigint, text string")
+    c = spark.createDataFrame([(f"t{d}", ["CN", "EN"]) for d in range(0, len(said), 6)], "text_id string, languages array<string>")
+    for most in (align.FIT_PAIRS, 50):
+        (_, shares), back = align.lexicons(align.sentences_of(i, c), most)["CN>EN"]
+        assert shares["opal"] == (0.5, 0.5) and shares["the"] == (1.0, 1.0) and shares["times"] == (0.5, 1.0)
+        assert back[1]["甲"] == (0.5, 0.5)
+
+
 # --- mixing --------------------------------------------------------------------------------------------------------
 def test_sainte_lague_against_plain_quotients():
     rng = random.Random(1)
