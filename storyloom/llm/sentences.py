@@ -6,7 +6,7 @@ positions stay. What terminators are left, by script, get a separator behind the
 masked signs are restored. No Python runs on the rows, and no row is shuffled.
 
 Defined results: null, empty and white texts have no sentence; a line break always ends one; positions are code points;
-a text that holds the private-use signs itself is restored from the original; repeated rows count each for themselves;
+a text that holds the private-use signs itself has them as one neutral sign while it is split, and is cut whole; repeated rows count each for themselves;
 texts of any length are cut whole, with the work growing in proportion.
 """
 
@@ -21,6 +21,8 @@ MARKS = ".!?…。！？｡ \t\u00a0\u3000\u202f\u2009"
 MASKS = "".join(chr(0xF8E0 + k) for k in range(len(MARKS)))
 DOT, BANG, QUERY, DOTS, STOP, WIDE_BANG, WIDE_QUERY, HALF_STOP = MASKS[:8]
 SEPARATOR = "\uf8ff"
+#: Stands for a text's own masks and separators.
+NEUTRAL = "\uf8df"
 
 #: Quotes and brackets: opening sign and closing signs that may answer it.
 QUOTES = (
@@ -123,8 +125,10 @@ def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, start_pos, end_pos, sentence): each sentence of the column ``text`` with its place in it."""
     t = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.length(F.btrim("__text", F.lit(WHITE))) > 0)
     m = F.col("__m")
+    clash = F.col("__text").rlike("[" + MASKS + SEPARATOR + "]")
     # one projection for each step: what is used twice is computed once
-    t = t.withColumn("__m", F.when(F.col("__text").rlike("[" + "".join(f"\\Q{a}\\E" for a in OPENERS) + "]"), _mask_quoted(F.col("__text"))).otherwise(F.col("__text")))
+    t = t.withColumn("__m", F.when(clash, F.translate("__text", MASKS + SEPARATOR, NEUTRAL * (len(MASKS) + 1))).otherwise(F.col("__text")))
+    t = t.withColumn("__m", F.when(m.rlike("[" + "".join(f"\\Q{a}\\E" for a in OPENERS) + "]"), _mask_quoted(m)).otherwise(m))
     t = t.withColumn("__m", F.when(m.contains("."), F.regexp_replace(m, F.lit("(?m)" + _dots()), F.lit(DOT))).otherwise(m))
     t = t.withColumn("__m", F.when(m.contains("…"), F.regexp_replace(m, F.lit(_ellipses()), F.lit(DOTS))).otherwise(m))
     t = t.withColumn("__cjk", m.rlike(f"[{CJK}]")).withColumn("__thai", m.rlike(f"[{THAI}]"))
@@ -150,7 +154,6 @@ def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     plain = F.transform("__pieces", lambda x, k: F.struct(restored(x).alias("piece"), start(k).alias("at")))
     # texts that hold the private-use signs themselves are cut from the original
     exact = F.transform("__pieces", lambda x, k: F.struct(F.substr(F.col("__text"), start(k) + 1, F.length(x)).alias("piece"), start(k).alias("at")))
-    clash = F.col("__text").rlike("[" + MASKS + SEPARATOR + "]")
     # the outer form, as for the inner one the optimiser infers a filter and copies all of the above into it
     t = t.select("__key", F.explode_outer(F.when(clash, exact).otherwise(plain)).alias("p"))
     t = t.select("__key", "p.at", F.ltrim("p.piece", F.lit(WHITE)).alias("tail"), F.length("p.piece").alias("n"))

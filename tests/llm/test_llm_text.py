@@ -145,3 +145,11 @@ def test_long_text(spark):
     text = "Lu went home. " * 20_000
     got = cut(spark, text)
     assert len(got) == 20_000 and got[-1] == (14 * 19_999, 14 * 19_999 + 13, "Lu went home.")
+
+
+def test_own_private_use_signs_end_nothing(spark):
+    texts = ["One  two. Three  four! Five.", "Alpha beta. Gamma delta.", "好的。行了。"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = sorted(sentences.sentences(df, "doc_id", "text").collect())
+    assert [r.sentence for r in got] == ["One  two.", "Three  four!", "Five.", "Alpha beta.", "Gamma delta.", "好的。", "行了。"]
+    assert all(texts[r.doc_id][r.start_pos : r.end_pos] == r.sentence for r in got)
