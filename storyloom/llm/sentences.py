@@ -76,18 +76,18 @@ def _dots() -> str:
         rf"(?=[.…]*+{SPACE}++[\p{{Ll}}\p{{N}}])",
         rf"(?={SPACE})(?<={alone}(?:{leading})[.])",
         rf"(?={SPACE})(?<={alone}\p{{Lu}}[.])",
-        rf"(?<=^{SPACE}{{0,8}}\d{{1,6}}[.])",
         rf"(?={SPACE}(?:{MONTHS})\b)(?<=\d[.])",
     ]) + ")"
 
 
 def _ellipses() -> str:
     """An ellipsis that ends no sentence: it runs on, or it stands in a line of Chinese or Japanese."""
-    return rf"…(?:(?=…*+{SPACE}++[\p{{Ll}}\p{{N}}])|(?=…*+{SPACE}?[{CJK}])|(?<=[{CJK}）」』]…{{1,10}}))"
+    return rf"…(?:(?=…*+{SPACE}++[\p{{Ll}}\p{{N}}])|(?=…*+{SPACE}?[{CJK}])|(?<=[{CJK}）」』]…))|\G(?<=…)…"
 
 
-#: The blank behind a list mark at the start of a line.
-LIST_BLANK = rf"{SPACE}(?<=^{SPACE}{{0,8}}(?:\d{{1,6}}[.{DOT})）]|[(（]\d{{1,6}}[)）]|[-*•·–—]){SPACE})"
+#: A list mark at the start of a line, up to its dot, and up to the blank behind it.
+LIST_DOT = rf"^({SPACE}*+\d++)\."
+LIST_BLANK = rf"^({SPACE}*+(?:\d++[.{DOT})）]|[(（]\d++[)）]|[-*•·–—])){SPACE}"
 #: Signs that close what an unmasked mark stands in can only be these; the others open the next sentence.
 SURE_CLOSERS = "」』》〉】）］)\\]”’›"
 _NO_SMALL = rf"(?!{SPACE}*+(?:[—–-]++{SPACE}*+)?\p{{Ll}})(?!{SPACE}*+[,;:.!?…])"
@@ -129,11 +129,11 @@ def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     # one projection for each step: what is used twice is computed once
     t = t.withColumn("__m", F.when(clash, F.translate("__text", MASKS + SEPARATOR, NEUTRAL * (len(MASKS) + 1))).otherwise(F.col("__text")))
     t = t.withColumn("__m", F.when(m.rlike("[" + "".join(f"\\Q{a}\\E" for a in OPENERS) + "]"), _mask_quoted(m)).otherwise(m))
-    t = t.withColumn("__m", F.when(m.contains("."), F.regexp_replace(m, F.lit("(?m)" + _dots()), F.lit(DOT))).otherwise(m))
+    t = t.withColumn("__m", F.when(m.contains("."), F.regexp_replace(F.regexp_replace(m, F.lit("(?m)" + _dots()), F.lit(DOT)), F.lit("(?m)" + LIST_DOT), F.lit("$1" + DOT))).otherwise(m))
     t = t.withColumn("__m", F.when(m.contains("…"), F.regexp_replace(m, F.lit(_ellipses()), F.lit(DOTS))).otherwise(m))
     t = t.withColumn("__cjk", m.rlike(f"[{CJK}]")).withColumn("__thai", m.rlike(f"[{THAI}]"))
     t = t.withColumn("__bare", F.col("__cjk") & ~m.rlike("[。！？｡]"))
-    t = t.withColumn("__m", F.when(F.col("__thai") | F.col("__bare"), F.regexp_replace(m, F.lit("(?m)" + LIST_BLANK), F.lit(MASKS[8]))).otherwise(m))
+    t = t.withColumn("__m", F.when(F.col("__thai") | F.col("__bare"), F.regexp_replace(m, F.lit("(?m)" + LIST_BLANK), F.lit("$1" + MASKS[8]))).otherwise(m))
     t = t.withColumn("__m", _put(m, THAI_END, F.col("__thai")))
     t = t.withColumn("__m", _put(m, BLANK_END, F.col("__bare")))
     t = t.withColumn("__m", _put(m, WIDE_END, F.col("__cjk")))

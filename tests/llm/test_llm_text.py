@@ -153,3 +153,10 @@ def test_own_private_use_signs_end_nothing(spark):
     got = sorted(sentences.sentences(df, "doc_id", "text").collect())
     assert [r.sentence for r in got] == ["One  two.", "Three  four!", "Five.", "Alpha beta.", "Gamma delta.", "好的。", "行了。"]
     assert all(texts[r.doc_id][r.start_pos : r.end_pos] == r.sentence for r in got)
+
+
+def test_list_marks_and_ellipses_of_any_width(spark):
+    texts = [" " * 12 + "1. Foo bar.\n" + " " * 30 + "12345678. Baz.", "他说" + "…" * 14 + " She left."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [r.sentence for r in sorted(sentences.sentences(df, "doc_id", "text").collect())]
+    assert got == ["1. Foo bar.", "12345678. Baz.", texts[1]]
