@@ -11,8 +11,9 @@ are no objects yield no entry but count in the positions.
 Defined results
 ---------------
 * null record: status ``null``; every level sequence has one entry of definition level 0.
-* text that is no valid JSON (also ``NaN``, an empty text, nesting beyond the parser's depth): status ``invalid``,
-  no level sequences; ``reconstruct`` gives no rows, the record's own row stays in the table of records.
+* text that is no valid JSON (also ``NaN`` and an empty text): status ``invalid``, no level sequences; ``reconstruct``
+  gives no rows, the record's own row stays in the table of records. Nesting of any depth is read.
+* half of a surrogate pair, which JSON can escape and a text can't hold, is read as U+FFFD.
 * a string that holds JSON stands for what it holds, at any level; a single object stands for an array of one.
 * missing, null, empty or unusable children: one entry, null, at the level of the last ancestor that is there.
 * a leaf whose value is an object or array is null; other values are kept as text (``true``, ``12``, ``1.5``).
@@ -22,6 +23,7 @@ Defined results
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -71,10 +73,82 @@ def _integer(digits: str) -> int | str:
 
 
 _DECODER = json.JSONDecoder(parse_constant=_refuse, parse_int=_integer)
+_BLANKS = re.compile(r"[ \t\n\r]*")
+#: Words and numbers: all up to the next sign that can't be in one.
+_SCALAR = re.compile(r"[^\s,:\[\]{}\"]+")
+_HALF = re.compile("[\ud800-\udfff]")
 
 
 def _decode(text: str) -> object:
-    return _DECODER.decode(text)
+    try:
+        return _DECODER.decode(text)
+    except RecursionError:
+        return _decode_deep(text)
+
+
+def _decode_deep(text: str) -> object:
+    """As the decoder, for nesting beyond its depth: arrays and objects that are still open wait in a list."""
+
+    def skip(at: int) -> int:
+        return _BLANKS.match(text, at).end()
+
+    def name(at: int) -> tuple[str, int]:
+        if text[at : at + 1] != '"':
+            raise ValueError(f"no name at {at}")
+        word, at = json.decoder.scanstring(text, at + 1)
+        if text[(at := skip(at)) : at + 1] != ":":
+            raise ValueError(f"no colon at {at}")
+        return word, skip(at + 1)
+
+    waiting: list[tuple[list | dict, str | None]] = []
+    at = skip(0)
+    while True:
+        sign = text[at : at + 1]
+        if sign in ("[", "{") and sign:
+            value: object = [] if sign == "[" else {}
+            at = skip(at + 1)
+            if text[at : at + 1] != ("]" if sign == "[" else "}"):
+                key = None
+                if sign == "{":
+                    key, at = name(at)
+                waiting.append((value, key))
+                continue
+            at += 1
+        elif sign == '"':
+            value, at = json.decoder.scanstring(text, at + 1)
+        elif m := _SCALAR.match(text, at):
+            value, at = _DECODER.decode(m.group()), m.end()
+        else:
+            raise ValueError(f"no value at {at}")
+        while waiting:  # the value is whole: to what holds it
+            holder, key = waiting[-1]
+            if key is None:
+                holder.append(value)
+            else:
+                holder[key] = value
+            at = skip(at)
+            sign = text[at : at + 1]
+            if sign == ",":
+                at = skip(at + 1)
+                if key is not None:
+                    key, at = name(at)
+                    waiting[-1] = (holder, key)
+                break
+            if sign != ("]" if key is None else "}"):
+                raise ValueError(f"no end at {at}")
+            waiting.pop()
+            value, at = holder, at + 1
+        else:
+            if skip(at) != len(text):
+                raise ValueError(f"more text at {at}")
+            return value
+
+
+def _strings(values: list[str | None]) -> pa.Array:
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([x if x is None else _HALF.sub("\ufffd", x) for x in values], pa.string())
 
 
 def _stands_for(value: object) -> object:
@@ -82,7 +156,7 @@ def _stands_for(value: object) -> object:
     while isinstance(value, str):
         try:
             value = _decode(value)
-        except (ValueError, RecursionError):
+        except ValueError:
             return value
     return value
 
@@ -174,7 +248,7 @@ def shred(df: DataFrame, record: str, root: Group, keys: list[str], columns: lis
                 else:
                     try:
                         value = _decode(text)
-                    except (ValueError, RecursionError):
+                    except ValueError:
                         status.append("invalid")
                     else:
                         status.append("ok")
@@ -184,8 +258,8 @@ def shred(df: DataFrame, record: str, root: Group, keys: list[str], columns: lis
             arrays = [batch.column(k) for k in keys] + [pa.array(status, pa.string())]
             for c in wanted:
                 at = pa.array(starts[c], pa.int32())
-                r, d, v = (pa.array(x, t) for x, t in zip(out[c], (pa.int8(), pa.int8(), pa.string())))
-                parts = [pa.ListArray.from_arrays(at, x) for x in (r, d, v)]
+                r, d, v = out[c]
+                parts = [pa.ListArray.from_arrays(at, x) for x in (pa.array(r, pa.int8()), pa.array(d, pa.int8()), _strings(v))]
                 arrays.append(pa.StructArray.from_arrays(parts, fields=list(arrow)))
             yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "status", *wanted])
 

@@ -95,3 +95,27 @@ def test_against_plain_recursion(spark, data):
                 for k, _ in children(s.get("references")) or [(-1, {})]:
                     expected.append((r.row_id, i, j, k))
     assert sorted(map(tuple, S.timeline_leaves(df).collect())) == sorted(expected)
+
+
+def test_nesting_beyond_the_parser_and_halves_of_pairs(spark):
+    deep = '[{"event":"e","odd":' + '{"a":[' * 100_000 + "]}" * 100_000 + ',"sources":[{"text":"\\ud83d and \\ud83d\\ude00"}]}]'
+    wrong = "[" * 100_000 + "]" * 99_999
+    df = spark.createDataFrame([(1, "a", "n", deep), (2, "a", "n", wrong), (3, "a", "n", json.dumps([{"sources": deep}]))], SCHEMA)
+    tables = S.timeline_tables(df)
+    assert {r.row_id: r.status for r in tables["activities"].collect()} == {1: "ok", 2: "invalid", 3: "ok"}
+    assert [r.event for r in tables["events"].where("row_id = 1").collect()] == ["e"]
+    assert [r.text for r in tables["sources"].where("row_id = 1").collect()] == ["� and \U0001f600"]
+    assert [tuple(r) for r in S.timeline_leaves(df).orderBy("row_id").collect()] == [(1, 0, 0, -1), (3, 0, 0, -1)]
+
+
+def test_both_parsers_agree():
+    texts = ['{"a":[1,-2.5e3,{"b":"x\\n\\u00e9"},[],{}],"a":null}', " [true , false] ", "3", '"s"', "[1,]", '{"a" 1}', '{"a":1,}', "[1 2]", "[01]", "[NaN]", "", '["\n"]', "{]", "[}", '{1:2}', "[1]x"]
+
+    def said(f, text):
+        try:
+            return f(text)
+        except ValueError:
+            return "invalid"
+
+    assert [said(S._decode_deep, t) for t in texts] == [said(S._decode, t) for t in texts]
+    assert [said(S._decode, t) for t in texts].count("invalid") == 12
