@@ -53,6 +53,11 @@ def p5_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(table(spark, d, "search_records"), _lines(spark, d, "document_id", "line_id", "line_number", "text"))
 
 
+def p5_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The stretches of each record that stand in another one."""
+    return spans.stretches(table(spark, d, "search_records"), _lines(spark, d, "document_id", "line_id", "line_number", "text"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
@@ -81,6 +86,6 @@ def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p2_found, p3_found, p3_pieces, p4_found, p4_unified, p5_found, p5_shared, p6_ids, p7_shares, p7_mix, p8_found, p8_sentences)
+    for f in (p2_found, p3_found, p3_pieces, p4_found, p4_unified, p5_found, p5_shared, p5_spans, p6_ids, p7_shares, p7_mix, p8_found, p8_sentences)
 }
 ORACLE: dict[str, str] = {}

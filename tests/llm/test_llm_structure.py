@@ -99,7 +99,7 @@ def corpus(spark, texts):
     return r, spark.createDataFrame(out, "line_id bigint, document_id string, line_number int, text string")
 
 
-@pytest.mark.parametrize("budget", [2000, 1])
+@pytest.mark.parametrize("budget", [2000, 3])
 def test_spans_against_brute_force(spark, budget):
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("abcdé一😀 \n") for _ in range(n))
@@ -117,6 +117,28 @@ def test_spans_against_brute_force(spark, budget):
     pairs, cover = brute(texts, 120)
     assert {tuple(x) for x in spans.found(r, lines, budget=budget).collect()} == pairs
     assert {x.record_id: x.shared_chars for x in spans.coverage(r, lines, budget=budget).collect()} == cover
+    parts = defaultdict(list)
+    for x in sorted(spans.stretches(r, lines, budget=budget).collect()):
+        assert x.end_pos - x.start_pos >= 120 and (not parts[x.record_id] or parts[x.record_id][-1] < x.start_pos)
+        parts[x.record_id] += [x.start_pos, x.end_pos]
+
+
+def test_long_texts_in_time_and_deep_tops(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(200_000))
+    # one boilerplate in all records, going on in ways that part again and again
+    boiler = "".join(rng.choice("pqrst") for _ in range(100))
+    texts = {1: "x" + long, 2: long + "y"}
+    for i in range(3, 60):
+        n = rng.choice([0, 5, 10, 19, 20, 21, 40])
+        texts[i] = f"{i} " + "".join(rng.choice("uv") for _ in range(30)) + "z" * rng.choice([0, 10, 25]) + boiler + "w" * n + f" {i}"
+    r, lines = corpus(spark, texts)
+    few = {i: t for i, t in texts.items() if i > 2}
+    pairs, cover = brute(few, 120)
+    for budget in (5, 2000):
+        assert {tuple(x) for x in spans.found(r, lines, budget=budget).collect()} == pairs | {(1, 2)}
+        got = {x.record_id: x.shared_chars for x in spans.coverage(r, lines, budget=budget).collect()}
+        assert got == cover | {1: 200_000, 2: 200_000}
 
 
 def test_hot_group_of_copies(spark):
