@@ -1,13 +1,17 @@
 """One consistent form for texts that look the same but differ in their characters.
 
-A transducer is compiled once from tables that are checked for conflicts: a trie over code points whose final states
-hold an output. It runs over the text in one pass, takes the longest match at each place, and drops signs that cannot
-be seen on the way; what it emits is composed per grapheme cluster, so accents typed as separate marks, and marks that
-an unseen sign had cut off their letter, come out as one sign.
+A transducer is compiled once from a precomputed mapping that is checked for conflicts: a trie over code points whose
+final states hold an output. Its sources are single signs (widths, spaces, dashes, look-alike letters) and sequences:
+letters of any look with their accents, half-width kana with their voice marks. It runs over the text in one pass,
+grapheme cluster by grapheme cluster, takes the longest match at each place, and drops signs that cannot be seen on the
+way, so that accents typed as separate marks, and marks that an unseen sign had cut off their letter, come out as one
+sign. Hangul, whose composition is a formula, and clusters that have no sign of their own are composed by the normal form.
 
 What counts as the same look: full- and half-width forms, kinds of spaces, kinds of dashes, signs that cannot be seen,
 spaces at either end, compatibility copies of letters (radicals, ligatures, Roman numerals), letters drawn alike in
-other scripts. Case, accents, raised, lowered, encircled and bracketed signs stay apart.
+other scripts. Case, accents, raised, lowered, encircled and bracketed signs stay apart. Format characters that print
+(Arabic number signs and the like) stay, and so do joiners where they show: within emoji and between letters of scripts
+that join. Variation selectors count as unseen.
 
 The form is for comparison: look-alikes go to one representative whatever script the text is in (so a CJK sign drawn
 like a kana goes to the kana). ``agreed`` gives the agreed spelling where a value meets one.
@@ -49,12 +53,22 @@ LIKE_FORMS = ("<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>")
 UNLIKE_BLOCKS = ((0x2100, 0x214F), (0x2474, 0x24B5), (0x3200, 0x33FF), (0x1F100, 0x1F2FF), (0x017F, 0x017F), (0xFB13, 0xFDFF), (0xFE70, 0xFEFE))
 
 
+#: Format characters that print: signs before numbers, the end of a verse, abbreviation and number marks.
+PRINTED_FORMATS = ((0x0600, 0x0605), (0x06DD, 0x06DD), (0x070F, 0x070F), (0x0890, 0x0891), (0x08E2, 0x08E2), (0x110BD, 0x110BD), (0x110CD, 0x110CD), (0xFFF9, 0xFFFB), (0x13430, 0x1343F), (0x1D173, 0x1D17A))
+#: Joiners, and what they show between: letters of scripts that join or form conjuncts, emoji.
+JOINERS = "\u200c\u200d"
+JOINING = ((0x0620, 0x06FF), (0x0710, 0x074F), (0x0750, 0x077F), (0x07C0, 0x07FF), (0x0840, 0x08FF), (0x0900, 0x0DFF), (0x1000, 0x109F), (0x1780, 0x17D3), (0x1820, 0x18AA), (0xA840, 0xA877), (0x10AC0, 0x10AFF), (0x1E900, 0x1E943))
+PICTURES = ((0x2600, 0x27BF), (0x2B00, 0x2BFF), (0x1F000, 0x1FAFF), (0x2300, 0x23FF))
+
+
 class Conflict(ValueError):
     """Two rules disagree, or an output would be changed again."""
 
 
 def _is_unseen(c: str) -> bool:
-    return unicodedata.category(c) == "Cf" or c in UNSEEN or "︀" <= c <= "️" or "\U000e0100" <= c <= "\U000e01ef"
+    k = ord(c)
+    format_ = unicodedata.category(c) == "Cf" and not any(a <= k <= b for a, b in PRINTED_FORMATS)
+    return format_ or c in UNSEEN or 0xFE00 <= k <= 0xFE0F or 0xE0100 <= k <= 0xE01EF
 
 
 def build_rules() -> dict[str, str]:
@@ -107,16 +121,69 @@ def build_rules() -> dict[str, str]:
     return rules
 
 
+def build_sequences(rules: dict[str, str]) -> dict[str, str]:
+    """Source -> output of every sequence of signs that has one sign of its own: a letter of any look with its accents.
+
+    For each sign that Unicode composes of others, its parts in canonical order are a source, with every look-alike of
+    the first part in its place; so are the kana whose voice marks have a half-width form.
+    """
+    alike: dict[str, list[str]] = {}
+    for source, target in rules.items():
+        if len(target) == 1:
+            alike.setdefault(target, []).append(source)
+    out: dict[str, str] = {}
+
+    def add(source: str, target: str) -> None:
+        if out.get(source, target) != target:
+            raise Conflict(f"{source!r}: {out[source]!r} or {target!r}")
+        out[source] = target
+
+    for k in range(0x110000):
+        if 0xD800 <= k <= 0xDFFF or not (parts := unicodedata.decomposition(chr(k))) or parts.startswith("<"):
+            continue
+        parts = unicodedata.normalize("NFD", chr(k))
+        if len(parts) < 2:
+            continue
+        base = rules.get(parts[0], parts[0])
+        target = unicodedata.normalize("NFC", base + parts[1:])
+        for first in {parts[0], base, *alike.get(base, ())}:
+            add(first + parts[1:], target)
+        if half := {"\u3099": "\uff9e", "\u309a": "\uff9f"}.get(parts[1:]):
+            for first in {base, *alike.get(base, ())}:
+                add(first + half, target)
+    return out
+
+
+def check_sequences(rules: dict[str, str], sequences: dict[str, str]) -> None:
+    """Where rules overlap, every way to read a text must come to the same; else the longest match would hide a conflict.
+
+    A sequence read sign by sign and composed, and read as a shorter sequence and a rest, must give its output; an
+    output must not be part of any source, alone or with what may follow it.
+    """
+    say = lambda text: "".join(rules.get(c, c) for c in text)
+    for source, target in sequences.items():
+        for cut in range(1, len(source) + 1):
+            head = source[:cut]
+            read = (sequences.get(head) or say(head)) + say(source[cut:])
+            if unicodedata.normalize("NFC", read) != target:
+                raise Conflict(f"{source!r} gives {target!r}, but {head!r} and the rest give {read!r}")
+        if target in rules or any(c in rules for c in target):
+            raise Conflict(f"{source!r} gives {target!r}, which changes again")
+
+
 def compile_rules() -> tuple[dict[str, str], str, str]:
     """The checked rules, and as ranges of code points the signs they may start at and those that join the sign before."""
     rules = build_rules()
+    sequences = build_sequences(rules)
+    check_sequences(rules, sequences)
     points = [k for k in range(0x110000) if not 0xD800 <= k <= 0xDFFF]
     marks = {k for k in points if unicodedata.category(chr(k)) in ("Mn", "Mc", "Me")}
     # accents of look-alike letters: decomposed first, so that the letter below the accent is seen
     composed = {k for k in points if unicodedata.decomposition(chr(k)) and unicodedata.normalize("NFD", chr(k))[:1] in rules}
     jamo = {*range(0x1100, 0x1200), *range(0xA960, 0xA980), *range(0xD7B0, 0xD800)}
-    follow = marks | jamo | {ord(s) for s, t in rules.items() if t == ""} | {0xFF9E, 0xFF9F}
-    return rules, _ranges({ord(s[0]) for s in rules} | composed | follow), _ranges(follow)
+    joiners = {ord(c) for c in JOINERS}
+    follow = (marks | jamo | {ord(s) for s, t in rules.items() if t == ""} | {0xFF9E, 0xFF9F}) - joiners
+    return rules | sequences, _ranges(({ord(s) for s in rules} | composed | follow) - joiners), _ranges(follow)
 
 
 class Transducer:
@@ -130,9 +197,13 @@ class Transducer:
             for c in source:
                 node = node.setdefault(c, {})
             node[""] = target
-        self.active = re.compile(f"[{active}]")
-        # a stretch to work on: a grapheme cluster with marks or unseen signs, or a sign that changes
-        self.stretch = re.compile(f"[^{follow}]?[{follow}]+|[{active}]")
+        # a stretch to work on: a grapheme cluster with marks or unseen signs, or a sign that changes; joiners are unseen
+        # unless they stand between two signs that they join
+        letter, picture = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) for ranges in (JOINING, PICTURES))
+        shown = f"(?<=[{letter}])[{JOINERS}](?=[{letter}])|(?:(?<=[{picture}])|(?<=[{picture}]\ufe0f))\u200d(?=[{picture}])"
+        tail = f"(?:[{follow}]|(?!{shown})[{JOINERS}])+"
+        self.stretch = re.compile(f"[^{follow}{JOINERS}]?{tail}|[{active}]")
+        self.active = re.compile(f"[{active}{JOINERS}]")
         self.known: dict[str, str] = {}
 
     def _emit(self, stretch: str) -> str:
@@ -167,6 +238,9 @@ class Transducer:
             return text.strip(" ") if text.isprintable() else self.stretch.sub(self._stretch, text).strip(" ")
         if self.active.search(text):
             text = self.stretch.sub(self._stretch, text)
+            # marks put in order may have changed what stands beside a joiner that was kept
+            while ("\u200d" in text or "\u200c" in text) and (again := self.stretch.sub(self._stretch, text)) != text:
+                text = again
         return text.strip(" ")
 
 
@@ -203,7 +277,10 @@ def transducer(compiled: tuple[dict[str, str], str, str] | None = None) -> Trans
 
 
 def one_form(text: str | Column) -> Column:
-    """The consistent form of a text column."""
+    """The consistent form of a text column, formed once for each value.
+
+    Marked as if it were not deterministic, as the optimiser would else copy it into the filters it infers for joins.
+    """
     compiled = compiled_rules()  # some 100 kB, whatever the data
 
     @F.arrow_udf("string")
@@ -213,7 +290,7 @@ def one_form(text: str | Column) -> Column:
             coded = texts.dictionary_encode()  # speakers and names repeat a lot
             yield pa.array([run(t) for t in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
 
-    return form(F.col(text) if isinstance(text, str) else text)
+    return form.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
 
 
 def fields_long(lines: DataFrame, timelines: DataFrame) -> DataFrame:

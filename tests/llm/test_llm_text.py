@@ -40,6 +40,35 @@ def test_rules_have_no_conflict_and_outputs_are_final():
     assert all(not any(c in rules for c in t) for t in rules.values())
 
 
+def test_sequences_match_longest_and_conflicts_between_overlaps_are_refused():
+    rules = oneform.build_rules()
+    sequences = oneform.build_sequences(rules)
+    assert sequences["\u03b1\u0301"] == "\xe1" and sequences["\uff76\uff9e"] == "ガ" and sequences["e\u0302\u0301"] == "ế"
+    oneform.check_sequences(rules, sequences)
+    only = oneform.Transducer((rules | {"xy": "z", "xyw": "v"}, "xyw", "w"))
+    assert only._emit("xyw") == "v" and only._emit("xyx") == "zx"
+    for bad in ({"e\u0301": "e"}, {"ab": "\u0430b"}, {"a\u0301": "á", "a\u0301\u0323": "á"}):
+        with pytest.raises(oneform.Conflict):
+            oneform.check_sequences(rules, bad)
+
+
+def test_printed_formats_and_joiners_that_show_stay():
+    persian, family = "می\u200cخواهم", "\U0001f468\u200d\U0001f469\u200d\U0001f467"
+    for s in ("\u0600\u0661", "\u06dd12", "\U000110bd", persian, family, "क्\u200dष"):
+        assert form(s) == s or form(s) == form(form(s)) and any(c in form(s) for c in oneform.JOINERS)
+    assert form("a\u200db") == "ab" and form("\u200cカ\u200dﾞ\u200d") == "ガ" and form("ا\u200d\u200cب") == "اب"
+
+
+def test_form_of_form_at_random():
+    import random
+
+    rng = random.Random(3)
+    signs = "aеéЁ\u0301\u0323\u0308ｶカﾞﾟﾊハ八\u200b\u200d\u200cم्क🛰\ufe0f ​　-‐각가ⅣﬁＡ\u0600\xa0\n"
+    for _ in range(20_000):
+        s = "".join(rng.choice(signs) for _ in range(rng.randint(1, 9)))
+        assert form(form(s)) == form(s), ascii(s)
+
+
 def test_conflicting_tables_are_refused(monkeypatch):
     monkeypatch.setattr(oneform, "KANA_ALIKE", {"ハ": "八", "ホ": "八"})
     with pytest.raises(oneform.Conflict):
