@@ -25,9 +25,10 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from storyloom.sources.tables import materialise
+
 LIMIT = 800
 OVERLAP = 80
 #: Code points of an item in one task, and how far before a block's edge a natural boundary is looked for.
@@ -86,14 +87,19 @@ def strength(text: str, end: int) -> int:
     return next((n for pattern, n in STRENGTH if pattern.search(tail)), WEAKEST)
 
 
-def merge(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Segments after merging: adjacent pairs wait in a heap, the weakest boundary first, then the smaller pair.
+def merge(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Segments after merging, and the stretches that had to be cut where there is no boundary.
 
-    A pair whose combined size plus the overlap is over the limit is dropped for good: neither side ever shrinks.
+    Adjacent pairs wait in a heap, the weakest boundary first, then the smaller pair. A pair whose combined size plus the
+    overlap is over the limit is dropped for good: neither side ever shrinks. Neither does a stretch over the limit, which
+    no merging can bring under it, so it is cut before.
     """
     ends: list[int] = []
     starts: list[int] = []
+    hard: list[tuple[int, int]] = []
     for a, b in stretches(text):
+        if b - a > limit:
+            hard.append((a, b))
         while b - a > limit:  # no boundary in reach: cut hard, leaving room for the overlap
             starts.append(a), ends.append(a + limit - overlap)
             a += limit - overlap
@@ -114,7 +120,7 @@ def merge(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
                 heapq.heappush(heap, (strength(text, ends[a]), size, a, right[a]))
         if left[a] >= 0 and (size := ends[a] - starts[left[a]]) <= room:
             heapq.heappush(heap, (strength(text, starts[a]), size, left[a], a))
-    return [(starts[k], ends[k]) for k in range(n) if alive[k]]
+    return [(starts[k], ends[k]) for k in range(n) if alive[k]], hard
 
 
 def cut(text: str, before: str = "", limit: int = LIMIT, overlap: int = OVERLAP) -> list[Piece]:
@@ -124,7 +130,7 @@ def cut(text: str, before: str = "", limit: int = LIMIT, overlap: int = OVERLAP)
     lies in that reach.
     """
     whole, base = before + text, len(before)
-    segments = [(0, len(text))] if not before and len(text) <= limit else merge(text, limit, overlap)
+    segments = [(0, len(text))] if not before and len(text) <= limit else merge(text, limit, overlap)[0]
     out = []
     for a, b in segments:
         a, b = a + base, b + base
@@ -199,10 +205,10 @@ def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, block:
     return _blocks(chunks, block, margin).mapInArrow(run, f"item_id {kind}, text_offset bigint, n_chars int, shared int, text string")
 
 
-def long_stretches(chunks: DataFrame, limit: int = LIMIT, block: int = BLOCK, margin: int = MARGIN) -> DataFrame:
-    """(item_id, stretch_offset) of the atomic segments over the limit in items over the limit; -1 for items without any."""
-    if not limit < margin <= block:
-        raise ValueError("limit < margin <= block must hold")
+def long_stretches(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, block: int = BLOCK, margin: int = MARGIN) -> DataFrame:
+    """(item_id, stretch_offset) of the stretches over the limit that ``merge`` had to cut; -1 for items over it without any."""
+    if not 0 <= overlap < limit < margin <= block:
+        raise ValueError("0 <= overlap < limit < margin <= block must hold")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,15 +221,17 @@ def long_stretches(chunks: DataFrame, limit: int = LIMIT, block: int = BLOCK, ma
                     if len(text) <= limit and not more:
                         continue  # the whole item
                     items.append(item), found.append(-1)
-                cuts = stretches(text)
-                for k, (a, e) in enumerate(cuts):
-                    # a stretch torn at a block's edge is longer than the margin, and counted where it starts
-                    if (e - a > limit or torn_end and k == len(cuts) - 1) and not (torn and k == 0):
-                        items.append(item), found.append(at + a)
+                hard = {a for a, _ in merge(text, limit, overlap)[1]}
+                if torn:  # a stretch torn at a block's edge is longer than the margin, and counted where it starts
+                    hard.discard(0)
+                if torn_end and not (torn and not boundaries(text)):
+                    hard.add(([0] + boundaries(text))[-1])
+                items += [item] * len(hard)
+                found += [at + a for a in sorted(hard)]
             kind = batch.schema.field("item_id").type
             yield pa.RecordBatch.from_arrays([pa.array(items, kind), pa.array(found, pa.int64())], names=["item_id", "stretch_offset"])
 
     kind = chunks.schema["item_id"].dataType.simpleString()
-    rows = _blocks(chunks, block, margin).mapInArrow(run, f"item_id {kind}, stretch_offset bigint")
-    most = F.max("stretch_offset").over(W.partitionBy("item_id"))
-    return rows.withColumn("most", most).where("stretch_offset >= 0 OR most = -1").select("item_id", "stretch_offset")
+    rows = materialise(_blocks(chunks, block, margin).mapInArrow(run, f"item_id {kind}, stretch_offset bigint"), "stretches")
+    without = rows.groupBy("item_id").agg(F.max("stretch_offset").alias("stretch_offset")).where("stretch_offset = -1")
+    return rows.where("stretch_offset >= 0").unionByName(without)
