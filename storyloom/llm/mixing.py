@@ -1,12 +1,15 @@
 """Mixing sources to target shares of the tokens, each document at most a capped number of times.
 
-1. Tokens are counted per document; each source is cut by hash into shards of bounded size.
+1. Tokens are counted per document; each source is cut by hash into shards.
 2. The size of a mix is the largest at which every source that is there can give its share within its cap. Shares of
-   sources that are not there, or have no tokens, go to the others in proportion.
+   sources that are not there, or have no tokens, go to the others in proportion, and the report says so.
 3. The mix is a number of equal blocks of tokens. Sainte-Laguë apportionment gives the blocks to the sources by highest
    quotients (tokens over 1, 3, 5, ...), and each source's blocks to its shards, in the same way: integer quotas.
-4. In a shard the documents stand in seeded order; a full turn through the shard takes each once. The quota is met by
-   whole turns and then a seeded run of blocks, so no document comes more often than the cap.
+4. In a shard the documents stand in seeded order, and their tokens in a row are cut into the same equal blocks; a
+   document belongs to the block its middle lies in. Blocks are what is drawn: all blocks of the shard as often as they go
+   into the quota, then the first of the seeded order for what is left of it, so no document comes more often than the cap.
+
+All of 4 is a running sum in the engine, one for each shard whatever the mixes.
 
 Defined results: documents with a null source, or without tokens, are not drawn; null or negative shares and caps under
 one draw nothing; shares that do not sum to one are taken in proportion; a source named twice in a mix is an error;
@@ -17,9 +20,9 @@ from __future__ import annotations
 
 import heapq
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storyloom.llm.tokens import TOKENIZERS, token_counts
@@ -29,7 +32,7 @@ SEED = 7
 #: Blocks a mix is made of, and about how many tokens a shard may have.
 BLOCKS = 10_000
 SHARD_TOKENS = 2_000_000
-#: Shards of one source at most; they grow beyond ``SHARD_TOKENS`` only past this.
+#: Shards of one source at most, as the driver apportions them; beyond, a shard is only longer to sort, and spills.
 MOST_SHARDS = 4096
 
 
@@ -69,7 +72,10 @@ def sized(documents: DataFrame, name: str = "byte_bpe_50k", path: str = TOKENIZE
 
 
 def plan(shards: pd.DataFrame, targets: pd.DataFrame, blocks: int = BLOCKS) -> pd.DataFrame:
-    """Quotas (mix_id, source, shard, quota in tokens) from shards (source, shard, tokens) and the targets."""
+    """Quotas (mix_id, source, shard, blocks, block, cap, due) from shards (source, shard, tokens) and the targets.
+
+    ``blocks`` is how many, ``block`` the tokens of one, ``due`` the share that is left to the source of those there are.
+    """
     rows = []
     have = shards.groupby("source")["tokens"].sum()
     for mix, t in targets.groupby("mix_id", sort=True):
@@ -83,61 +89,61 @@ def plan(shards: pd.DataFrame, targets: pd.DataFrame, blocks: int = BLOCKS) -> p
         size = min(r / s for r, s in zip(room, share))
         block = max(1.0, size / blocks)
         seats = sainte_lague(share, int(size // block), [r // block for r in room])
-        for source, n, cap in zip(t["source"], seats, t["max_repeats"]):
+        for source, n, cap, due in zip(t["source"], seats, t["max_repeats"], share):
             own = shards[shards["source"] == source].sort_values("shard")
             votes = own["tokens"].tolist()
             for shard, q in zip(own["shard"], sainte_lague(votes, n, [v * cap / block + 1 for v in votes])):
-                rows.append((mix, source, int(shard), q * block, int(cap)))
-    return pd.DataFrame(rows, columns=["mix_id", "source", "shard", "quota", "cap"])
+                rows.append((mix, source, int(shard), int(q), float(block), int(cap), float(due)))
+    return pd.DataFrame(rows, columns=["mix_id", "source", "shard", "blocks", "block", "cap", "due"])
 
 
-def draw(documents: DataFrame, targets: DataFrame, name: str = "byte_bpe_50k", path: str = TOKENIZERS, blocks: int = BLOCKS) -> DataFrame:
-    """(mix_id, source, doc_id, tokens, times): the drawn documents of every mix."""
+def _drawn(documents: DataFrame, targets: DataFrame, name: str, path: str, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """The drawn documents (mix_id, source, doc_id, tokens, times), and the quotas."""
     d = materialise(sized(documents, name, path), "sized")
     totals = d.groupBy("source").agg(F.sum("tokens").alias("all"))
     count = F.least(F.lit(MOST_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("all") / SHARD_TOKENS))).cast("int")
-    d = d.join(F.broadcast(totals.withColumn("shards", count).select("source", "shards")), "source") if totals.limit(10_001).count() <= 10_000 else d.join(totals.withColumn("shards", count).select("source", "shards"), "source")
-    d = d.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.col("shards")).cast("int"))
-    # per shard one row, at most MOST_SHARDS of each source named in a mix: small enough for the driver
+    # only sources named in a mix, of which there are as many as rows in the table of targets
     named = targets.select("source").where("source IS NOT NULL").distinct()
-    per_shard = d.join(named, "source", "left_semi").groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).toPandas()
-    quotas = plan(per_shard, targets.dropna().toPandas(), blocks)
-    spark = documents.sparkSession
-    q = spark.createDataFrame(quotas, "mix_id string, source string, shard int, quota double, cap int")
-    mine = d.join(F.broadcast(q), ["source", "shard"])
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "doc_id"], kind="stable")
-        tokens = pdf["tokens"].to_numpy()
-        quota, cap = pdf["quota"].iloc[0], int(pdf["cap"].iloc[0])
-        turns = min(cap, int(quota // tokens.sum())) if tokens.sum() else 0
-        times = np.full(len(tokens), turns)
-        if turns < cap:
-            # the rest: a run in seeded order, each document that brings the sum nearer to the quota
-            rest = quota - turns * tokens.sum()
-            for k in np.flatnonzero(tokens > 0):
-                if tokens[k] <= 2 * rest:
-                    times[k] += 1
-                    rest -= tokens[k]
-                if rest <= 0:
-                    break
-        pdf["times"] = times
-        return pdf.loc[pdf["times"] > 0, ["mix_id", "source", "doc_id", "tokens", "times"]]
-
-    groups = mine.select("mix_id", "source", "shard", "doc_id", "tokens", "order", "quota", "cap").groupBy("mix_id", "source", "shard")
-    return groups.applyInPandas(take, "mix_id string, source string, doc_id bigint, tokens bigint, times int")
-
-
-def shares(documents: DataFrame, targets: DataFrame, **how: object) -> DataFrame:
-    """(mix_id, source, target_share, max_repeats, docs, most_times, tokens, actual_share) of every target."""
-    drawn = draw(documents, targets, **how)
+    totals = totals.join(F.broadcast(named), "source").withColumn("shards", count).select("source", "shards")
+    d = d.where("tokens > 0").join(F.broadcast(totals), "source").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.col("shards")).cast("int"))
+    per_shard = d.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens"))
+    per_shard = materialise(per_shard, "shards")  # at most MOST_SHARDS rows of each source
+    quotas = plan(per_shard.toPandas(), targets.dropna().toPandas(), blocks)
+    q = documents.sparkSession.createDataFrame(quotas, "mix_id string, source string, shard int, blocks bigint, block double, cap int, due double")
+    # where a document's middle lies in its shard, in seeded order
+    by = W.partitionBy("source", "shard").orderBy("order", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    placed = d.withColumn("middle", F.sum("tokens").over(by) - F.col("tokens") / 2).select("source", "shard", "doc_id", "tokens", "middle")
+    own = q.join(per_shard.withColumnRenamed("tokens", "all"), ["source", "shard"])
+    held = F.col("all") / F.col("block")  # the shard in blocks
+    own = own.withColumn("turns", F.least(F.floor(F.col("blocks") / held), F.col("cap")).cast("int"))
+    own = own.withColumn("rest", F.when(F.col("turns") < F.col("cap"), F.col("blocks") - F.col("turns") * held).otherwise(0.0))
+    drawn = placed.join(F.broadcast(own.select("mix_id", "source", "shard", "block", "turns", "rest")), ["source", "shard"])
+    times = F.col("turns") + (F.col("middle") / F.col("block") < F.col("rest")).cast("int")
+    return drawn.withColumn("times", times).where("times > 0").select("mix_id", "source", "doc_id", "tokens", "times"), q
+
+
+def draw(documents: DataFrame, targets: DataFrame, name: str = "byte_bpe_50k", path: str = TOKENIZERS, blocks: int = BLOCKS) -> DataFrame:
+    """(mix_id, source, doc_id, tokens, times): the drawn documents of every mix."""
+    return _drawn(documents, targets, name, path, blocks)[0]
+
+
+def shares(documents: DataFrame, targets: DataFrame, name: str = "byte_bpe_50k", path: str = TOKENIZERS, blocks: int = BLOCKS) -> DataFrame:
+    """(mix_id, source, target_share, max_repeats, due_share, remark, docs, most_times, tokens, actual_share) of every target.
+
+    ``due_share`` is the target among the sources that can give anything; ``remark`` says why it differs: ``absent`` for a
+    source without tokens, ``void`` for a null or unusable target, ``raised`` where others' shares came to it.
+    """
+    drawn, quotas = _drawn(documents, targets, name, path, blocks)
     used = F.col("tokens") * F.col("times")
     sums = drawn.groupBy("mix_id", "source").agg(F.count(F.lit(1)).alias("docs"), F.max("times").alias("most_times"), F.sum(used).alias("sum"))
-    wholes = sums.groupBy("mix_id").agg(F.sum("sum").alias("whole"))
-    out = targets.select("mix_id", "source", "target_share", "max_repeats").join(sums, ["mix_id", "source"], "left").join(wholes, "mix_id", "left")
+    due = quotas.groupBy("mix_id", "source").agg(F.max("due").alias("due"))
+    out = targets.select("mix_id", "source", "target_share", "max_repeats").join(sums, ["mix_id", "source"], "left").join(F.broadcast(due), ["mix_id", "source"], "left")
+    out = out.withColumn("whole", F.sum("sum").over(W.partitionBy("mix_id")))  # over the few targets
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    void = F.col("source").isNull() | F.coalesce(F.col("target_share") <= 0, F.lit(True)) | F.coalesce(F.col("max_repeats") < 1, F.lit(True))
+    remark = F.when(void, "void").when(F.col("due").isNull(), "absent").when(F.col("due") > F.col("target_share") + 1e-9, "raised").otherwise("")
     return out.select(
-        "mix_id", "source", "target_share", "max_repeats",
+        "mix_id", "source", "target_share", "max_repeats", F.round(F.coalesce("due", F.lit(0.0)), 6).alias("due_share"), remark.alias("remark"),
         zero("docs").alias("docs"), zero("most_times").alias("most_times"), zero("sum").alias("tokens"),
         F.round(F.coalesce(F.col("sum") / F.col("whole"), F.lit(0.0)), 6).alias("actual_share"),
     )

@@ -297,11 +297,24 @@ def test_mix_meets_shares_and_caps(spark):
     for key, share in {("m", "big"): 0.5, ("m", "mid"): 0.3, ("m", "small"): 0.2, ("n", "big"): 1.0}.items():
         assert abs(got[key].actual_share - share) < 0.01, key
         assert got[key].most_times <= got[key].max_repeats
+    assert (got["n", "gone"].remark, got["n", "gone"].due_share) == ("absent", 0) and (got["n", "big"].remark, got["n", "big"].due_share) == ("raised", 1)
+    assert got["m", "big"].remark == "" and got["m", "big"].due_share == 0.5
     assert got["n", "gone"].tokens == 0 and got["e", "gone"].actual_share == 0
     again = rows(mixing.draw(d, t))
     assert again == rows(mixing.draw(d.repartition(7), t)) and len({r[:3] for r in again}) == len(again)
 
 
+def test_blocks_of_many_shards_are_drawn_whole(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", 900)
+    docs = [(k, "ab"[k % 4 == 0], "word " * (k % 50 + 1), 0) for k in range(800)] + [(9999, "b", "word " * 4000, 0)]
+    d = spark.createDataFrame(docs, DOC)
+    t = spark.createDataFrame([("m", "a", 0.5, 2), ("m", "b", 0.5, 3)], TARGET)
+    got = {r.source: r for r in mixing.shares(d, t).collect()}
+    assert all(abs(r.actual_share - 0.5) < 0.06 and r.most_times <= r.max_repeats for r in got.values())
+    once = {(r.source, r.doc_id): r.times for r in mixing.draw(d, t, blocks=40).collect()}
+    assert max(once.values()) <= 3 and once == {(r.source, r.doc_id): r.times for r in mixing.draw(d.repartition(5), t, blocks=40).collect()}
+
+
 def test_mix_edges(spark):
     d = spark.createDataFrame([(1, "a", "one two three", 0)], DOC)
     t = spark.createDataFrame([("m", "a", 1.0, 2), ("m", None, 0.5, 1), ("x", "a", None, 1), ("y", "a", -1.0, 1), ("z", "a", 1.0, 0)], TARGET)
