@@ -33,16 +33,22 @@ CLOSERS = "」』》〉】）］)\\]”’“‘»«›\"＂"
 
 #: Abbreviations that stand before what they belong to, so their dot never ends a sentence.
 LEADING = {
-    "en": "Mr Mrs Ms Dr Prof Lt Capt St Sgt Gen Col Rev Hon Mt vs cf e.g i.e approx fig Fig p pp vol Vol ch Ch sec Sec",
-    "de": "Hr Hrn Fr Dr Prof Nr Abb Kap Bd S vgl bzw ca evtl ggf inkl zzgl sog z z.B d.h",
-    "fr": "M MM Mme Mlle Dr Pr Me env cf fig chap vol p pp",
-    "es": "Sr Sra Srta D Dra Dr Cap Prof Ud Uds aprox pág págs fig cap núm vol",
-    "ru": "проф Проф им Им ок см рис гл стр т.е акад Акад ул просп гр г-н г-жа",
+    "en": "Mr Mrs Ms Messrs Dr Drs Prof Rev Hon Pres Gov Sen Rep Amb Gen Col Maj Capt Cpt Lt Cmdr Adm Sgt Cpl Pvt Insp St Mt Ft vs cf viz "
+    "e.g i.e approx ca est fig figs Fig Figs p pp vol vols Vol ch chs Ch sec Sec eq Eq ref refs ed eds trans nos Nos op Jan Feb Mar Apr Jun Jul Aug Sept Sep Oct Nov Dec",
+    "de": "Hr Hrn Fr Frl Dr Prof Dipl Ing Mag Priv Hptm Lt Gen St Nr Nrn Abb Abs Anm Art Aufl Bd Bde Bsp Kap Ausg Hrsg S Z Tab vgl bzw bspw ca evtl ggf ggfs inkl exkl "
+    "insb insbes max min zzgl abzgl sog z z.B d.h d.i i.A i.d.R u.U geb gest verh Mio Mrd Tel Jh",
+    "fr": "M MM Mme Mmes Mlle Mlles Dr Drs Pr Prs Me Mgr St Ste Cie env cf fig figs chap vol t p pp art éd av apr bd hab réf tél ex.g c.-à-d",
+    "es": "Sr Sres Sra Sras Srta Srtas D Dña Dra Dr Dres Cap Cdte Cnel Gral Tte Sgto Prof Profa Lic Ing Arq Mons Excmo Excma Sto Sta Ud Uds Vd Vds aprox pág págs fig figs cap caps art núm núms vol vols ed eds tel av avda Avda p.ej",
+    "ru": "проф Проф доц Доц акад Акад им Им св Св тов Тов гр Гр ок см См ср Ср рис Рис табл гл Гл стр разд т.е т.н напр ул пл просп пер наб г-н г-жа тел тыс",
 }
 #: Month names after which a number with a dot is no end (ordinal dates).
 MONTHS = "Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
-#: What follows a quote in Chinese when the sentence goes on: a name and one of these, then an end mark.
-SAYING = "回答|答道|回答道|说|说道|低声说|低声说道|问|问道|低声问|低声问道|喊|喊道|叫道|笑道|低语|低语道|宣布|解释|解释道|补充道|写道|嘟囔|轻声说|轻声问"
+#: Chinese verbs of saying: a quote goes on if a name, one of these, perhaps with 道, 着 or 了, and an end mark follow.
+SAYING = (
+    "说问答喊叫笑道讲嚷吼念骂叹劝唱写",
+    "回答 回应 应答 低语 耳语 私语 宣布 宣告 解释 说明 补充 嘟囔 嘟哝 嘀咕 咕哝 呢喃 喃喃 反驳 反问 追问 质问 询问 发问 强调 提醒 承认 否认 命令 吩咐 嘱咐 叮嘱 建议 提议 警告 抱怨 感叹 感慨 "
+    "惊呼 惊叫 高呼 欢呼 咆哮 怒吼 重复 表示 插话 插嘴 打断 附和 汇报 报告 介绍 评论 总结 祈祷 安慰 催促 恳求 央求 哀求 请求 答应 赞叹 称赞 嘲讽 调侃 打趣 开口",
+)
 #: Particles that carry a Japanese sentence on after a quote.
 PARTICLES = "と|って|を|の"
 
@@ -106,13 +112,14 @@ WIDE_END = (
     rf"(?=[。！？｡{STOP}{WIDE_BANG}{WIDE_QUERY}{HALF_STOP}{DOTS}])(?:"
     rf"[。！？｡][。！？｡!?]*+[{SURE_CLOSERS}]*+(?![，、；：,;:])"
     rf"|[{STOP}{WIDE_BANG}{WIDE_QUERY}{HALF_STOP}{DOTS}]++[{CLOSERS}][{SURE_CLOSERS}]*+(?![。！？｡!?，、；：,;:.…{MASKS[:8]}{SURE_CLOSERS}])"
-    rf"(?![^。！？…：，、\s「『“‘（]{{1,24}}?(?:{SAYING})[。！？!?…]|{PARTICLES}|的))"
+    rf"(?![^。！？…：，、\s「『“‘（]{{1,24}}?(?:[{SAYING[0]}]|{SAYING[1].replace(' ', '|')})[道着了]?[。！？!?…]|{PARTICLES}|的))"
 )
 #: Thai: white space, unless beside a digit.
 THAI_END = rf"{SPACE}(?:(?<=[{THAI}].)(?!{SPACE}*+[\p{{N}}{BREAK}])|(?<=[^\p{{N}}\s:：].)(?={SPACE}*+[{THAI}]))"
 #: The same in texts of Han or kana without end marks.
 BLANK_END = THAI_END.replace(THAI, CJK)
-#: Pieces in one step of the running sums; the work per text grows as pieces x STEP + (pieces / STEP) ** 2.
+#: Pieces in one step of the running sums, and such steps in one of the steps above; beyond some 10 million pieces of one
+#: text the sums over the latter, which grow as (pieces / STEP ** 2) ** 2, begin to show.
 STEP = 32
 
 
@@ -140,16 +147,19 @@ def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     t = t.withColumn("__m", F.regexp_replace(m, F.lit(SPACED_END), F.lit("$0" + SEPARATOR)))
     t = t.withColumn("__pieces", F.split(m, SEPARATOR))
     t = t.withColumn("__sizes", F.transform("__pieces", lambda x: F.length(x)))
-    # where each piece starts: running sums in two levels, so that long texts cost in proportion
+    # where each piece starts: running sums in three levels, so that long texts cost in proportion
     add = lambda a, x: a + x
     step = lambda k: F.floor(k / STEP).cast("int")
     steps = F.sequence(F.lit(0), step(F.size("__sizes") - 1))
     t = t.withColumn("__sums", F.transform(steps, lambda c: F.aggregate(F.slice("__sizes", c * STEP + 1, F.lit(STEP)), F.lit(0), add)))
-    t = t.withColumn("__bases", F.transform("__sums", lambda x, k: F.aggregate(F.slice("__sums", F.lit(1), k), F.lit(0), add)))
-    within = lambda k: F.aggregate(F.slice("__sizes", step(k) * STEP + 1, k % STEP), F.lit(0), add)
+    tops = F.sequence(F.lit(0), step(F.size("__sums") - 1))
+    t = t.withColumn("__tops", F.transform(tops, lambda c: F.aggregate(F.slice("__sums", c * STEP + 1, F.lit(STEP)), F.lit(0), add)))
+    t = t.withColumn("__under", F.transform("__tops", lambda x, k: F.aggregate(F.slice("__tops", F.lit(1), k), F.lit(0), add)))
     # the sums are named twice, or the optimiser would move their making into the lambda, once for every piece
-    base = lambda k: F.when(F.size("__bases") > step(k), F.element_at("__bases", step(k) + 1))
-    start = lambda k: base(k) + within(k)
+    at = lambda sums, k: F.when(F.size(sums) > step(k), F.element_at(sums, step(k) + 1))
+    t = t.withColumn("__bases", F.transform("__sums", lambda x, k: at("__under", k) + F.aggregate(F.slice("__sums", step(k) * STEP + 1, k % STEP), F.lit(0), add)))
+    within = lambda k: F.aggregate(F.slice("__sizes", step(k) * STEP + 1, k % STEP), F.lit(0), add)
+    start = lambda k: at("__bases", k) + within(k)
     restored = lambda x: F.translate(x, MASKS, MARKS)
     plain = F.transform("__pieces", lambda x, k: F.struct(restored(x).alias("piece"), start(k).alias("at")))
     # texts that hold the private-use signs themselves are cut from the original

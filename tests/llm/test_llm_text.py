@@ -134,6 +134,8 @@ CASES = {
     "es": ["¡Resistid! |¿Quién va? |Sr. Pi llegó a las 6.40 a. m. en punto.|Vio n.º 7, etc. |«Sí. No.» dijo Lu.|Fin"],
     "ru": ["Проф. К. Ли жил в 1097 г. у реки.|Взял лампы и т. д. |«Да. Нет!» — сказал Им. Пи.|Ждал… и ушёл…|Конец"],
     "zh": ["他说：「走。快！」|K.加多尔在图3.2里。|「不。」卢温低声问。|他走了……却无人应答？！|（无人。也无记录。）。|《旧账·卷二》。|完"],
+    "xx": ["Maj. Lu and Sen. Pi met in Sept. at Ft. Olm, Figs. 3 and 4. |Then they left.", "Das war die Aufl. von Bd. 3, insb. Tab. 4. |Fertig.", "Mgr. Lu et Ste. Anne, éd. Pi. |Fini.", "Vio a la Profa. Lu y al Gral. Pi en la Avda. Sol. |Fin.", "Доц. Ли живёт на ул. Садовой. |Конец."],
+    "zh2": ["「住手！」帕洛怒吼道。|「好。」他叹了。|「走。」她嘀咕着。|「来。」|他们守住了。"],
     "ja": ["『行け。今！』とパが言った。|彼は「いや。」と答えた。|誰だ？|返事は……だが来ない。|終わり"],
     "ko": ["“가. 지금!”라고 K. 올이 말했다. |No. 7 구역에서. |누구냐?"],
 }
@@ -147,7 +149,7 @@ def cut(spark, text):
 @pytest.mark.parametrize("lang,k", [(x, k) for x in CASES for k in range(len(CASES[x]))])
 def test_sentences(spark, lang, k):
     parts = CASES[lang][k].split("|")
-    joint = "" if lang in ("zh", "ja") else " "
+    joint = "" if lang in ("zh", "zh2", "ja") else " "
     text = joint.join(p.strip() for p in parts)
     got = cut(spark, text)
     assert [s for _, _, s in got] == [p.strip() for p in parts]
@@ -176,6 +178,15 @@ def test_long_text(spark):
     assert len(got) == 20_000 and got[-1] == (14 * 19_999, 14 * 19_999 + 13, "Lu went home.")
 
 
+def test_many_short_sentences_of_one_text(spark):
+    text = "Go on. " * 300_000
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    from pyspark.sql import functions as F
+
+    r = sentences.found(df).agg(F.count("*").alias("n"), F.max("start_pos").alias("last"), F.sum(F.col("start_pos") % 7).alias("off")).first()
+    assert tuple(r) == (300_000, 7 * 299_999, 0)
+
+
 def test_own_private_use_signs_end_nothing(spark):
     texts = ["One  two. Three  four! Five.", "Alpha beta. Gamma delta.", "好的。行了。"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
