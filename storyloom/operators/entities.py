@@ -6,7 +6,6 @@ names are joined by their first three signs, or all of a shorter name, instead.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +32,41 @@ def alias_groups(entities: DataFrame) -> DataFrame:
     return each.groupBy("canonical").agg(F.array_sort(F.collect_set("alias")).alias("aliases"), F.array_sort(F.collect_set("game")).alias("games"))
 
 
+def attached(groups: DataFrame, listed: DataFrame, line: str = "text", others: DataFrame | None = None) -> DataFrame:
+    """Groups with the aliases of listed lines, names set apart by semicolons: to the first group that holds the line's first name.
+
+    A line whose first name no group holds makes a group of its own, with the other lines of that name. ``others`` are
+    names (name) that belong to another game's characters and are no aliases.
+    """
+    names = F.array_distinct(F.filter(F.transform(F.split(line, ";"), lambda x: F.trim(x)), lambda x: F.length(x) > 0))
+    lines = listed.select(names.alias("names")).where(F.size("names") > 0).withColumn("first", F.col("names")[0])
+    owners = alias_table(groups).withColumnsRenamed({"alias": "first", "canonical": "owner"})
+    each = lines.join(owners, "first", "left").select(F.coalesce("owner", "first").alias("canonical"), F.explode("names").alias("alias"))
+    each = each.unionByName(lines.join(owners, "first", "left_anti").select(F.col("first").alias("canonical"), F.col("first").alias("alias")))
+    if others is not None:
+        barred = others.select(F.col("name").alias("alias")).distinct()
+        each = each.where("alias = canonical").unionByName(each.where("alias != canonical").join(barred, "alias", "left_anti"))
+    both = each.withColumn("game", F.lit(None).cast("string")).unionByName(_long(groups))
+    return both.groupBy("canonical").agg(F.array_sort(F.collect_set("alias")).alias("aliases"), F.array_sort(F.collect_set("game")).alias("games"))
+
+
+def _long(groups: DataFrame) -> DataFrame:
+    each = groups.select("canonical", "games", F.explode("aliases").alias("alias"))
+    return each.select("canonical", "alias", F.explode_outer("games").alias("game"))
+
+
+def expand(groups: DataFrame, names: list[str]) -> dict[str, list[str]]:
+    """For each requested name the aliases of the first group that holds it, or itself alone; bounded by the request."""
+    wanted = list(dict.fromkeys(names))
+    held = groups.where(F.arrays_overlap("aliases", F.array(*[F.lit(n) for n in wanted]))) if wanted else groups.limit(0)
+    rows = held.select("canonical", "aliases", F.array_intersect("aliases", F.array(*[F.lit(n) for n in wanted])).alias("asked")).orderBy("canonical").collect() if wanted else []
+    out: dict[str, list[str]] = {}
+    for n in wanted:
+        row = next((r for r in rows if n in r.asked), None)
+        out[row.canonical if row else n] = list(row.aliases) if row else [n]
+    return out
+
+
 def alias_table(groups: DataFrame) -> DataFrame:
     """(alias, canonical): each alias with the first group that has it, in order of the canonical name."""
     each = groups.select("canonical", F.explode("aliases").alias("alias"))
@@ -40,42 +74,41 @@ def alias_table(groups: DataFrame) -> DataFrame:
 
 
 class Automaton:
-    """Many patterns in one pass over a text: a trie whose nodes fall back to the longest suffix that is a prefix."""
+    """Many patterns in one pass over a text, by a compiled matcher."""
 
     def __init__(self, patterns: list[str]):
-        self.next: list[dict[str, int]] = [{}]
-        self.fall: list[int] = [0]
-        self.ends: list[list[int]] = [[]]
-        self.patterns = patterns
+        import ahocorasick
+
+        self.lengths = [len(p) for p in patterns]
+        self.matcher = ahocorasick.Automaton()
+        same: dict[str, list[int]] = {}
         for k, p in enumerate(patterns):
-            at = 0
-            for c in p:
-                if c not in self.next[at]:
-                    self.next[at][c] = len(self.next)
-                    self.next.append({}), self.fall.append(0), self.ends.append([])
-                at = self.next[at][c]
-            if at:
-                self.ends[at].append(k)
-        queue = deque(self.next[0].values())
-        while queue:
-            at = queue.popleft()
-            for c, child in self.next[at].items():
-                back = self.fall[at]
-                while back and c not in self.next[back]:
-                    back = self.fall[back]
-                self.fall[child] = self.next[back].get(c, 0)
-                self.ends[child] += self.ends[self.fall[child]]
-                queue.append(child)
+            if p:
+                same.setdefault(p, []).append(k)
+        for p, numbers in same.items():
+            self.matcher.add_word(p, numbers)
+        self.matcher.make_automaton()
 
     def find(self, text: str) -> Iterator[tuple[int, int, int]]:
         """(pattern number, start, end) of every occurrence."""
-        at = 0
-        for k, c in enumerate(text):
-            while at and c not in self.next[at]:
-                at = self.fall[at]
-            at = self.next[at].get(c, 0)
-            for p in self.ends[at]:
-                yield p, k + 1 - len(self.patterns[p]), k + 1
+        if not len(self.matcher):
+            return
+        for last, numbers in self.matcher.iter(text):
+            for k in numbers:
+                yield k, last + 1 - self.lengths[k], last + 1
+
+
+_automata: dict[int, Automaton] = {}
+
+
+def _automaton(patterns: list[tuple[str, str]]) -> Automaton:
+    """The worker's automaton of these patterns, built once for all its tasks; only the latest few are kept."""
+    key = hash(tuple(patterns))
+    if key not in _automata:
+        if len(_automata) >= 4:
+            _automata.pop(next(iter(_automata)))
+        _automata[key] = Automaton([a for a, _ in patterns])
+    return _automata[key]
 
 
 def select_spans(found: list[tuple[int, int, str]], whole: int) -> list[tuple[int, int, str]]:
@@ -109,7 +142,7 @@ def mentions(texts: DataFrame, key: str, text: str, aliases: DataFrame, select:
     kind = texts.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton([a for a, _ in patterns.value])
+        automaton = _automaton(patterns.value)
         for batch in batches:
             out: list[tuple] = []
             for k, t in zip(batch[0].to_pylist(), batch[1].to_pylist()):

@@ -151,11 +151,23 @@ def page(candidates: DataFrame, after: int = -1, documents: int = PAGE, scan: in
 
 
 def excerpts(lines: DataFrame, found: DataFrame, hits: DataFrame, around: int = 1) -> DataFrame:
-    """Lines of the passages with ``around`` lines to either side: (document_id, rank, line_number, role, text)."""
+    """Lines of the passages with ``around`` lines to either side: (document_id, rank, line_number, role, text).
+
+    Lines a passage shows as a hit are ``match``, as a context term of one ``constraint``, others ``context``. Lines
+    delivered several times come once, that with the smallest line_id where it is given; they are folded after the join.
+    """
     spans = found.select("document_id", "rank", F.explode(F.sequence(F.greatest(F.lit(1), F.col("first") - around), F.col("last") + around)).alias("line_number"))
     marked = hits.select("document_id", "line_number", F.lit(1).alias("__hit")).distinct()
-    out = spans.join(lines.select("document_id", "line_number", "text"), ["document_id", "line_number"]).join(marked, ["document_id", "line_number"], "left")
-    return out.select("document_id", "rank", "line_number", F.when(F.col("__hit") == 1, "match").otherwise("context").alias("role"), "text")
+    order = "line_id" if "line_id" in lines.columns else "text"
+    own = lines.select("document_id", "line_number", "text", F.col(order).alias("__order"))
+    shown = own.join(spans, ["document_id", "line_number"]).groupBy("document_id", "rank", "line_number").agg(F.min_by("text", "__order").alias("text"))
+    out = shown.join(marked, ["document_id", "line_number"], "left")
+    role = F.when(F.col("__hit") == 1, "match")
+    if "term_lines" in hits.columns:
+        terms = hits.select("document_id", F.explode("term_lines").alias("line_number"), F.lit(1).alias("__term")).distinct()
+        out = out.join(terms, ["document_id", "line_number"], "left")
+        role = role.when(F.col("__term") == 1, "constraint")
+    return out.select("document_id", "rank", "line_number", role.otherwise("context").alias("role"), "text")
 
 
 def anchor_lines(lines: DataFrame) -> DataFrame:

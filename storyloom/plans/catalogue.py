@@ -52,9 +52,10 @@ for _name in ("activities", "events", "sources", "references"):
 
 # --- search --------------------------------------------------------------------------------------------------------
 def _hits(spark: SparkSession, d: str, word: str = WORD) -> tuple[DataFrame, DataFrame]:
-    """Lines with their search form, and the matching ones with place and score."""
-    lines = corpus.lines(spark, d, "text", "line_type").withColumn("form", tx.plain_form(F.col("text")))
-    hits = lines.withColumn("start", search.literal_start(F.col("form"), word)).where("start IS NOT NULL")
+    """Lines as delivered with their search form, and the matching ones once each with place and score."""
+    form = tx.plain_form(F.col("text"))
+    lines = corpus.delivered(spark, d, "text", "line_type").withColumn("form", form)
+    hits = corpus.lines(spark, d, "text", "line_type", where=F.contains(form, F.lit(word))).withColumn("start", search.literal_start(form, word))
     return lines, hits.withColumn("score", search.score(F.col("start"), 1000, F.when(F.col("line_type") == "dialogue", 50).otherwise(0)))
 
 
@@ -67,13 +68,13 @@ def search_literal_passages(spark: SparkSession, d: str) -> DataFrame:
 @query
 def search_regex_lines(spark: SparkSession, d: str) -> DataFrame:
     start, length = search.regex_match(F.col("text"), "[0-9]{4} lamps")
-    t = corpus.lines(spark, d, "text").select("document_id", "line_number", start.alias("start"), length.alias("length"))
-    return t.where("start IS NOT NULL").select("document_id", *big("line_number", "start", "length"))
+    t = corpus.lines(spark, d, "text", where=start.isNotNull()).select("document_id", "line_number", start.alias("start"), length.alias("length"))
+    return t.select("document_id", *big("line_number", "start", "length"))
 
 
 @query
 def search_speaker_filter(spark: SparkSession, d: str) -> DataFrame:
-    t = corpus.lines(spark, d, "text", "line_type", "speaker_raw").where(F.col("speaker_raw") == SPEAKER)
+    t = corpus.lines(spark, d, "text", "line_type", "speaker_raw", where=F.col("speaker_raw") == SPEAKER)
     return t.select("document_id", *big("line_number"), tx.line_content(F.col("line_type"), F.col("speaker_raw"), F.col("text")).alias("content"))
 
 
@@ -122,9 +123,9 @@ def search_context_passages(spark: SparkSession, d: str) -> DataFrame:
 @query
 def search_entity_mention(spark: SparkSession, d: str) -> DataFrame:
     """Stored entity occurrences whose name stands near the word in the text."""
-    t = corpus.lines(spark, d, "text", "speaker_raw", "entity_occurrences").withColumn("text", F.concat_ws(": ", "speaker_raw", "text"))
-    t = t.withColumn("start", search.literal_start(F.col("text"), "the"))
-    t = t.where("start IS NOT NULL").select("document_id", "line_number", "text", "start", F.explode("entity_occurrences").alias("o"))
+    said = F.concat_ws(": ", "speaker_raw", "text")
+    t = corpus.lines(spark, d, "text", "speaker_raw", "entity_occurrences", where=F.contains(said, F.lit("the")) & (F.size("entity_occurrences") > 0))
+    t = t.withColumn("text", said).withColumn("start", search.literal_start(F.col("text"), "the")).select("document_id", "line_number", "text", "start", F.explode("entity_occurrences").alias("o"))
     gap = search.near_hit(F.col("text"), F.col("o.raw_name"), F.col("start"), F.col("start") + 3)
     t = t.select("document_id", "line_number", "o.entity_id", "o.raw_name", gap.alias("distance")).where("distance IS NOT NULL")
     return t.groupBy("document_id", "line_number", "entity_id", "raw_name").agg(F.min("distance").alias("distance")).select("document_id", *big("line_number"), "entity_id", "raw_name", *big("distance"))
@@ -151,7 +152,8 @@ def search_interleave_order(spark: SparkSession, d: str) -> DataFrame:
 @query
 def search_page_anchor(spark: SparkSession, d: str) -> DataFrame:
     """The page after a known candidate, by what its documents would show."""
-    sizes = corpus.lines(spark, d, "text").groupBy("document_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
+    one = corpus.delivered(spark, d, "text").groupBy("document_id", "line_number").agg(F.min(F.struct("line_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))).alias("l"))
+    sizes = one.groupBy("document_id").agg(F.sum("l.n").alias("chars"))
     r = search.interleave(corpus.documents(spark, d), "game", ["document_id"], ["game_a", "game_b"])
     c = r.join(sizes, "document_id", "left").select("document_id", "ordinal", F.coalesce("chars", F.lit(0)).alias("chars"))
     return search.page(c, after=20).select("document_id", *big("ordinal", "running"))
@@ -172,7 +174,7 @@ def search_highlight(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def search_anchor_line(spark: SparkSession, d: str) -> DataFrame:
-    return search.anchor_lines(corpus.lines(spark, d, "text", "line_type")).select("document_id", *big("line_number"))
+    return search.anchor_lines(corpus.delivered(spark, d, "text", "line_type")).select("document_id", *big("line_number"))
 
 
 @query
@@ -187,8 +189,9 @@ def search_evidence_kind(spark: SparkSession, d: str) -> DataFrame:
 @query
 def search_normal_form(spark: SparkSession, d: str) -> DataFrame:
     """Literal matches on the compatibility form, which full-width text meets as well."""
-    t = corpus.lines(spark, d, "text").withColumn("start", search.literal_start(tx.search_form(F.col("text")), "quaxor"))
-    return t.where("start IS NOT NULL").select("document_id", *big("line_number", "start"))
+    start = search.literal_start(tx.search_form(F.col("text")), "quaxor")
+    t = corpus.delivered(spark, d, "text").withColumn("start", start).where("start IS NOT NULL")
+    return corpus.one_delivery(t).select("document_id", *big("line_number", "start"))
 
 
 @query
@@ -202,13 +205,13 @@ def preview_cost(spark: SparkSession, d: str) -> DataFrame:
 # --- grams ---------------------------------------------------------------------------------------------------------
 @query
 def gram_postings(spark: SparkSession, d: str) -> DataFrame:
-    lines = corpus.lines(spark, d, "text")
+    lines = corpus.delivered(spark, d, "text")
     return search.postings(lines, F.lower("text")).groupBy("gram").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 @query
 def gram_division(spark: SparkSession, d: str) -> DataFrame:
-    lines = corpus.lines(spark, d, "text")
+    lines = corpus.delivered(spark, d, "text")
     return search.candidates(lines, F.lower("text"), WORD)
 
 
@@ -216,12 +219,12 @@ def gram_division(spark: SparkSession, d: str) -> DataFrame:
 def gram_union_title(spark: SparkSession, d: str) -> DataFrame:
     r = corpus.documents(spark, d)
     titles = r.where(F.lower("display_title").contains("kx-1"))
-    return search.candidates(corpus.lines(spark, d, "text"), F.lower("text"), "crystal", titles, r.where(F.col("game") == "game_a"))
+    return search.candidates(corpus.delivered(spark, d, "text"), F.lower("text"), "crystal", titles, r.where(F.col("game") == "game_a"))
 
 
 @query
 def short_literal_scan(spark: SparkSession, d: str) -> DataFrame:
-    return search.candidates(corpus.lines(spark, d, "text"), F.lower("text"), SHORT)
+    return search.candidates(corpus.delivered(spark, d, "text"), F.lower("text"), SHORT)
 
 
 # --- entities ------------------------------------------------------------------------------------------------------
@@ -349,18 +352,18 @@ def section_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def joined_lines_hash(spark: SparkSession, d: str) -> DataFrame:
-    return read.integrity(corpus.lines(spark, d, "text"))
+    return read.integrity(corpus.lines(spark, d, "text", whole=True))
 
 
 @query
 def read_around(spark: SparkSession, d: str) -> DataFrame:
-    lines = corpus.lines(spark, d, "text", "line_type")
-    return read.around(lines, search.anchor_lines(lines), 1, 2).select("document_id", *big("line_number"))
+    anchors = search.anchor_lines(corpus.delivered(spark, d, "text", "line_type"))
+    return read.around(corpus.delivered(spark, d).select("document_id", "line_number").distinct(), anchors, 1, 2).select("document_id", *big("line_number"))
 
 
 @query
 def read_budget_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return read.budget_prefix(corpus.lines(spark, d, "text"), 10, 600).select("document_id", *big("line_number", "running"))
+    return read.budget_prefix(corpus.lines(spark, d, "text", whole=True), 10, 600).select("document_id", *big("line_number", "running"))
 
 
 @query
@@ -468,13 +471,14 @@ def timeline_activity_infer(spark: SparkSession, d: str) -> DataFrame:
     """Words that are exactly the name of an activity stand for it."""
     t, words = table(spark, d, "activity_timelines"), "白石渡口 RE-4"
     e = timeline.events(t)
-    found = timeline.search(e, activity=words, exact=True) if timeline.names_activity(t, words) else timeline.search(e, words=words)
+    found = timeline.search(e, words, exact=True) if timeline.names_activity(t, words) else timeline.search(e, words=words)
     return found.select("row_id", "event_pos", "event_id", "activity_name")
 
 
 @query
 def timeline_words(spark: SparkSession, d: str) -> DataFrame:
-    e = timeline.events(table(spark, d, "activity_timelines"))
+    t = table(spark, d, "activity_timelines")
+    e = timeline.with_sources(timeline.events(t), t)
     return timeline.search(e, words="反应堆", names=["波", "莫"]).select("row_id", "event_pos", "event")
 
 
@@ -574,7 +578,7 @@ def coverage_split(spark: SparkSession, d: str) -> DataFrame:
 @query
 def coverage_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Line numbers of documents as runs."""
-    lines = corpus.lines(spark, d, "text").where(F.length(F.trim("text")) > 0)
+    lines = corpus.delivered(spark, d, "text").where(F.length(F.trim("text")) > 0)
     return session.ranges(lines, ["document_id"], "line_number").select("document_id", *big("start", "stop"))
 
 
@@ -613,9 +617,10 @@ def corpus_problems(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def missing_required(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("nationkey"))
-    s = table(spark, d, "supplier").where("s_suppkey % 7 = 0").select(F.col("s_nationkey").cast("bigint").alias("nationkey"))
-    return snapshot.missing(n, s, "nationkey")
+    """Customers none of whose orders is there."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("custkey"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").cast("bigint").alias("custkey"))
+    return snapshot.missing(c, o, "custkey")
 
 
 @query

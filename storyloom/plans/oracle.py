@@ -158,7 +158,7 @@ SELECT document_id, CASE WHEN p IN ('before', 'after') THEN p WHEN p IN ('story'
  coalesce(array_to_string(list_sort(list_distinct(list_filter(al, lambda x: x IS NOT NULL AND x != ''))), '|'), '') AS aliases FROM e""",
     "render_line": f"""WITH {_L} SELECT document_id, line_number::BIGINT AS line_number,
  'L' || line_number || ' ' || CASE WHEN length(trim(coalesce(speaker_raw, ''), ' ')) > 0 THEN trim(speaker_raw, ' ') || ': ' ELSE '' END || coalesce(text, '') AS shown, ceil(length(coalesce(text, '')) / 2.5)::BIGINT AS tokens FROM l""",
-    "escape_clip": r"""SELECT doc_id, replace(replace(replace(replace(substr(trim(regexp_replace(text, '[\x00-\x1f\x7f]+', ' ', 'g')), 1, 160), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped,
+    "escape_clip": rf"""SELECT doc_id, replace(replace(replace(replace(replace(substr(trim(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]+', ' ', 'g'), '{_SPACE}+', ' ', 'g')), 1, 160), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS escaped,
  CASE WHEN length(text) > 40 THEN substr(text, 1, 39) || '…' ELSE text END AS clipped FROM documents WHERE text IS NOT NULL""",
     "tag_sections": f"WITH {_DL}, {_SECTIONS} SELECT doc_id, name, start::BIGINT AS start, stop::BIGINT AS stop FROM sections",
     "section_lines": f"""WITH {_DL}, {_SECTIONS}, j AS (SELECT dl.doc_id, dl.line_number, s.name, row_number() OVER (PARTITION BY dl.doc_id, dl.line_number ORDER BY s.stop - s.start, s.start, s.name) AS k
@@ -218,7 +218,7 @@ SELECT 'repeated id' AS problem, document_id AS id FROM search_records GROUP BY
 UNION ALL SELECT 'line count', r.document_id FROM search_records r LEFT JOIN c USING (document_id) WHERE coalesce(n, 0) != line_count
 UNION ALL SELECT 'orphan lines', document_id FROM c WHERE document_id NOT IN (SELECT document_id FROM search_records)
 UNION ALL SELECT 'dangling link', x FROM (SELECT previous_document_id AS x FROM search_records UNION SELECT next_document_id FROM search_records) WHERE x IS NOT NULL AND x NOT IN (SELECT document_id FROM search_records)""",
-    "missing_required": "SELECT n_nationkey::BIGINT AS nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 7 = 0)",
+    "missing_required": "SELECT c_custkey::BIGINT AS custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
     "snapshot_roundtrip": "SELECT document_id, display_title, line_count::BIGINT AS line_count FROM search_records",
     "snapshot_digest": "SELECT count(*) AS rows, 1::BIGINT AS same FROM search_records",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.sources.tables import table
@@ -20,10 +20,22 @@ def one_delivery(lines: DataFrame) -> DataFrame:
     return one.select(*keys, *[F.col(f"__one.{c}").alias(c) for c in rest]).select(*lines.columns)
 
 
-def lines(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Lines once each, with the named columns besides document_id, line_number and line_id."""
+def delivered(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Lines as delivered, with the named columns besides document_id, line_number and line_id."""
     own = ["document_id", "line_number", "line_id", *[c for c in columns if c not in ("document_id", "line_number", "line_id")]]
-    return one_delivery(table(spark, d, "search_lines").select(*own))
+    return table(spark, d, "search_lines").select(*own).dropna(subset=["document_id", "line_number"])
+
+
+def lines(spark: SparkSession, d: str, *columns: str, where: Column | None = None, whole: bool = False) -> DataFrame:
+    """Lines once each, with the named columns besides document_id, line_number and line_id.
+
+    ``where`` is a condition on the content of a line. It runs before the fold, as what is delivered again has the same
+    content; so only lines that match are shuffled. With ``whole`` the lines are partitioned by document ahead of the
+    fold, which serves whatever is done by document after it, so the text moves once.
+    """
+    rows = delivered(spark, d, *columns)
+    rows = rows if where is None else rows.where(where)
+    return one_delivery(rows.repartition("document_id") if whole else rows)
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:

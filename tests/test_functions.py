@@ -121,3 +121,66 @@ def test_normalize_matches_python(spark, data):
     df = spark.createDataFrame([(t,) for t in texts], "x string")
     got = [r.y for r in df.select(tx.normalize(F.col("x")).alias("y")).collect()]
     assert got == [re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t)).strip() for t in texts]
+
+
+def test_language_names(spark):
+    got = {c: spark.createDataFrame([(c,)], "x string").select(tx.language(F.col("x"))).first()[0] for c in ("en-US", "ja-JP", "fr-FR", "es-MX", "pt-BR", "zh", " ZH_cn", "ko", "xx")}
+    assert got == {"en-US": "EN", "ja-JP": "JP", "fr-FR": "FR", "es-MX": "MX", "pt-BR": "BR", "zh": "CN", " ZH_cn": "CN", "ko": "KR", "xx": "XX"}
+    assert set(tx.LANGUAGES.values()) <= set(tx.LANGUAGE_CODES) and len(tx.LANGUAGES) == 26
+
+
+def test_versions_in_order(spark):
+    order = ["1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta", "1.0.0-beta.2", "1.0.0-beta.11", "1.0.0-rc.2", "1.0.0-rc.10", "1.0.0", "1.0.9", "1.0.10", "99999999999999999999.0.0", "100000000000000000000.0.0"]
+    bad = ["1.0", "01.0.0", "1.0.0-01", "1.0.0-", "1.0.0+", "v1.0.0", None, "1.0.0-a..b"]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(order + bad)], "k int, v string").withColumn("o", classify.semver_key(F.col("v")))
+    assert [r.k for r in df.where("o IS NOT NULL").orderBy("o").collect()] == list(range(len(order)))
+    assert df.where("o IS NULL").count() == len(bad)
+
+
+def test_wiki_roles(spark):
+    rows = [("wiki", "", "stories/a"), ("wiki", "", "char_v3/prompt_1"), ("wiki", "", "char_v3/x"), ("wiki", "", "else"), ("wiki", "odd", None), ("wiki", " story ", ""), ("story", "story", "")]
+    df = spark.createDataFrame(rows, "k string, r string, p string")
+    assert [r[0] for r in df.select(classify.wiki_role(F.col("k"), F.col("r"), F.col("p"))).collect()] == ["story", "character_activity", "character", "other", "other", "story", ""]
+
+
+def test_labels_of_times(spark):
+    rows = [("", "1097年春", None, None), (None, "123世纪", None, None), ("８：05 1098 年", "冬", None, None), ("清晨", "1097年", 1096, 1099), ("某日", None, 1096, None), (None, None, 1096, 1097), (None, None, None, None), ("第二纪元", None, 5, 6)]
+    df = spark.createDataFrame(rows, "t string, s string, a int, b int")
+    label = fuzzytime.label_of(F.col("t"), F.col("s"))
+    out = df.select(fuzzytime.bounds(label, F.col("a"), F.col("b")).alias("b"), label.alias("l"), fuzzytime.display(F.col("t"), F.col("s"), F.col("a"), F.col("b")).alias("d"))
+    got = [((r.b.start, r.b.end), tuple(r.o), r.d) for r in out.withColumn("o", fuzzytime.order_key(F.col("l"), F.col("b.start"))).collect()]
+    assert got == [
+        ((1097, 1097), (1097, 3, 0, 0), "1097年春"),
+        ((12201, 12300), (12201, 0, 0, 0), "123世纪"),
+        ((1098, 1098), (1098, 0, 0, 485), "８：05 1098 年"),
+        ((1096, 1099), (1096, 0, 0, 300), "1096-1099 年 清晨"),
+        ((1096, 1096), (1096, 0, 0, 0), "1096 年 某日"),
+        ((1096, 1097), (1096, 0, 0, 0), "1096-1097 年"),
+        ((None, None), (fuzzytime.LAST, 13, 32, 1440), "时间不详"),
+        ((5, 6), (5, 0, 0, 0), "第二纪元"),
+    ]
+
+
+def test_lines_without_their_speaker_and_clipping(spark):
+    df = spark.createDataFrame([("Vi", "Vi：  hello"), ("Vi", "Vi : x"), ("Vi", "Vivid: x"), (None, "Vi: x"), ("Vi", None)], "s string, t string")
+    assert [r[0] for r in df.select(tx.public_text(F.col("s"), F.col("t"))).collect()] == ["hello", "x", "Vivid: x", "Vi: x", None]
+    c = df.select(tx.clipped(F.lit(" a  bcd "), 4).alias("a"), tx.clipped(F.lit(None).cast("string"), 4).alias("b"), tx.clipped(F.lit("ab"), 0).alias("c"), tx.clipped(F.lit("abcd"), 4).alias("d")).first()
+    assert [tuple(x) for x in c] == [("a b…", True), ("", False), ("", True), ("abcd", False)]
+
+
+def test_query_variants():
+    assert tx.variants("é") == {"é", "e\u0301"} and "a" in tx.variants("a") and len(tx.variants("\u1ec7" * 20)) == 32
+    assert tx.changing_signs("aＡb") == {"Ａ": "a"}
+
+
+def test_grams_of_signs_beyond_the_basic_plane(spark):
+    df = spark.createDataFrame([("😀ab😀",), ("ab",), (None,), ("aaaa",)], "x string")
+    assert [sorted(r[0]) for r in df.select(tx.ngrams(F.col("x"), (3,))).collect()] == [["ab😀", "😀ab"], [], [], ["aaa"]]
+    assert sorted(df.select(tx.ngrams(F.col("x"))).first()[0]) == sorted(["😀", "a", "b", "😀a", "ab", "b😀", "😀ab", "ab😀"])
+
+
+def test_citations_and_keys(spark):
+    df = spark.createDataFrame([(3, 3, None), (3, 5, None), (3, 5, "概述"), (None, None, None)], "a int, b int, s string")
+    assert [r[0] for r in df.select(classify.citation(F.lit("T"), F.col("a"), F.col("b"), F.col("s"))).collect()] == ["《T》第 3 行", "《T》第 3-5 行", "《T》Wiki·概述", "《T》"]
+    k = df.select(classify.stage_key(F.lit("gt－3"), F.lit(" Before")), classify.record_key(F.lit("Ａ b"), F.lit("r"), F.lit(2)), classify.collection_name(F.lit(""), F.lit(None).cast("string"), F.lit("Ｘ"))).first()
+    assert tuple(k) == ("GT-3\0before", "A b\0r\x002", "X")
