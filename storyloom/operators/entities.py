@@ -39,7 +39,7 @@ def attached(groups: DataFrame, listed: DataFrame, line: str = "text", others: D
     names (name) that belong to another game's characters and are no aliases.
     """
     names = F.array_distinct(F.filter(F.transform(F.split(line, ";"), lambda x: F.trim(x)), lambda x: F.length(x) > 0))
-    lines = listed.select(names.alias("names")).where(F.size("names") > 0).withColumn("first", F.col("names")[0])
+    lines = listed.select(names.alias("names")).where(F.size("names") > 0).withColumn("first", F.get("names", F.lit(0)))
     owners = alias_table(groups).withColumnsRenamed({"alias": "first", "canonical": "owner"})
     each = lines.join(owners, "first", "left").select(F.coalesce("owner", "first").alias("canonical"), F.explode("names").alias("alias"))
     each = each.unionByName(lines.join(owners, "first", "left_anti").select(F.col("first").alias("canonical"), F.col("first").alias("alias")))
@@ -208,3 +208,26 @@ def relation_hints(texts: DataFrame, key: str, text: str, catalogue: DataFrame)
     names = catalogue.select(F.explode(F.array("a", "b")).alias("alias"), F.col("id").cast("string").alias("canonical"))
     hits = mentions(texts, key, text, names, select=False).select(key, F.col("canonical").alias("id")).distinct()
     return hits.join(catalogue.withColumn("id", F.col("id").cast("string")), "id").select(key, "a", "b")
+
+
+def gated_relations(catalogue: DataFrame, games: tuple[str, ...] | list[str], needed: tuple[str, ...] = ("game_a", "game_b")) -> DataFrame:
+    """The relations, or none unless all the games they go between are enabled."""
+    return catalogue if set(needed) <= set(games) else catalogue.limit(0)
+
+
+def retrieval_context(texts: DataFrame, key: str, text: str, groups: DataFrame, catalogue: DataFrame | None = None, most: int = 16) -> DataFrame:
+    """(key, context): what is known of the names in each text: a line for each entity with its other names, and for each
+    relation, escaped so that no name can pass for markup; at most ``most`` of each, in order."""
+    from storyloom.functions.text import escape
+
+    table = groups.select("canonical", F.explode("aliases").alias("alias"))
+    named = mentions(texts, key, text, table).select(key, "canonical").distinct().join(groups, "canonical")
+    others = F.array_join(F.slice(F.filter("aliases", lambda a: a != F.col("canonical")), 1, most), "、")
+    line = F.concat(F.lit("- "), escape(F.col("canonical")), F.when(others == "", "").otherwise(F.concat(F.lit("："), escape(others))))
+    lines = named.select(key, F.struct(F.lit(0).alias("kind"), line.alias("line")).alias("l"))
+    if catalogue is not None:
+        hints = relation_hints(texts, key, text, catalogue)
+        lines = lines.unionByName(hints.select(key, F.struct(F.lit(1).alias("kind"), F.concat(F.lit("- "), escape(F.col("a")), F.lit(" / "), escape(F.col("b"))).alias("line")).alias("l")))
+    sorted_ = F.array_sort(F.collect_set("l"))
+    kept = F.concat(F.slice(F.filter("all", lambda x: x["kind"] == 0), 1, most), F.slice(F.filter("all", lambda x: x["kind"] == 1), 1, most))
+    return lines.groupBy(key).agg(sorted_.alias("all")).select(key, F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("context"))

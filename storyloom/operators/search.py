@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions.saferegex import safe_pattern
 from storyloom.functions.text import ngrams, query_ngrams
+from storyloom.sources.tables import materialise
 
 #: Lines between two hits of one passage, passages of a document, literal matches of a document, lines of context.
 GAP = 2
@@ -55,20 +56,24 @@ def first_matches(hits: DataFrame, most: int = MATCHES) -> DataFrame:
 
 
 def passages(hits: DataFrame, most: int = PASSAGES, gap: int = GAP) -> DataFrame:
-    """Passages of neighbouring hits: (document_id, first, last, hits, score, rank, cut).
+    """Passages of neighbouring hits: (document_id, first, last, hits, score, rank, cut), and what the hits carry.
 
     ``hits`` has document_id, line_number, score, and may have ``low`` and ``high``, the lines its context terms
-    reach. A hit joins the passage before it if it starts at most ``gap`` lines after the farthest line so far. The
-    best passages are kept; ``cut`` is 1 where there were more.
+    reach. A hit joins the passage before it if it starts at most ``gap`` lines after the farthest line so far, and is in
+    the same ``section`` and ``range`` (names with their first lines), where it has such. The best passages are kept;
+    ``cut`` is 1 where there were more. With ``section`` and ``range`` the passage has them too.
     """
     if "low" not in hits.columns:
         hits = hits.withColumns({"low": F.col("line_number"), "high": F.col("line_number")})
+    scopes = [c for c in ("section", "range") if c in hits.columns]
     by = W.partitionBy("document_id").orderBy("line_number")
+    # the farthest line of the passage so far: lines of passages before it are never beyond its start
     farthest = F.max("high").over(by.rowsBetween(W.unboundedPreceding, -1))
-    new = F.when(F.col("low") - farthest <= gap, 0).otherwise(1)
+    same = reduce(lambda a, b: a & b, [F.lag(c).over(by).eqNullSafe(F.col(c)) for c in scopes], F.lit(True))
+    new = F.when((F.col("low") - farthest <= gap) & same, 0).otherwise(1)
     islands = hits.withColumn("__new", new).withColumn("passage", F.sum("__new").over(by.rowsBetween(W.unboundedPreceding, 0)))
     found = islands.groupBy("document_id", "passage").agg(
-        F.min_by("low", "line_number").alias("first"), F.max("high").alias("last"), F.count(F.lit(1)).alias("hits"), F.max("score").alias("score")
+        F.min_by("low", "line_number").alias("first"), F.max("high").alias("last"), F.count(F.lit(1)).alias("hits"), F.max("score").alias("score"), *[F.first(c).alias(c) for c in scopes]
     )
     best = W.partitionBy("document_id").orderBy(F.desc("score"), "first")
     found = found.withColumn("rank", F.row_number().over(best))
@@ -79,6 +84,8 @@ def passages(hits: DataFrame, most: int = PASSAGES, gap: int = GAP) -> DataFrame
 def context_terms(lines: DataFrame, hits: DataFrame, terms: list[str], form: str = "form", reach: int = NEAR_LINES) -> DataFrame:
     """Hits with every term in some line at most ``reach`` away, with ``term_lines``, ``low`` and ``high``.
 
+    Hits that have a ``range`` (start, stop) look for terms within it only.
+
     Only lines that hold a term are joined, on blocks of ``reach`` + 1 lines, so the join is an equality.
     """
     term_rows = None
@@ -92,6 +99,8 @@ def context_terms(lines: DataFrame, hits: DataFrame, terms: list[str], form: str
     term_rows = term_rows.withColumn("__block", F.explode(F.array(block - 1, block, block + 1)))
     own = hits.withColumn("__block", F.floor(F.col("line_number") / size))
     near = own.join(term_rows, ["document_id", "__block"]).where(F.abs(F.col("__line") - F.col("line_number")) <= reach)
+    if "range" in hits.columns:  # within the range of the hit, where it has one
+        near = near.where(F.coalesce(F.col("__line").between(F.col("range.start"), F.col("range.stop")), F.lit(True)))
     first = near.groupBy(*hits.columns, "__term").agg(F.min("__line").alias("__line"))
     every = first.groupBy(*hits.columns).agg(F.array_sort(F.collect_set("__line")).alias("term_lines"), F.countDistinct("__term").alias("__n"))
     every = every.where(F.col("__n") == len(set(range(len(terms))))).drop("__n")
@@ -119,6 +128,24 @@ def useful_aliases(aliases: Column) -> Column:
     return F.when(F.size(longer) > 0, longer).otherwise(F.coalesce(aliases, F.array().cast("array<string>")))
 
 
+def ranked(df: DataFrame, group: str, order: list, name: str = "rank") -> DataFrame:
+    """``df`` with the rank from 0 of each row within its group; no task holds a whole group.
+
+    The rows are range-partitioned by the order and ranked within each range; the sizes of the ranges, one row for each
+    range and group, give what comes before. ``order`` must tell all rows apart.
+    """
+    t = df.withColumn("__order", F.struct(*order))
+    # written once, as ranges are sampled anew with every run
+    t = materialise(t.repartitionByRange("__order").withColumn("__range", F.spark_partition_id()), "ranked")
+    sizes = t.groupBy(group, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    by = W.partitionBy(group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # over a row for each range
+    before = sizes.select(F.col(group).alias("__g"), "__range", F.coalesce(F.sum("__n").over(by), F.lit(0)).alias("__before"))
+    own = F.row_number().over(W.partitionBy(group, "__range").orderBy("__order")) - 1
+    t = t.withColumn("__own", own).withColumnRenamed("__range", "__r")
+    out = t.join(F.broadcast(before), (F.col(group).eqNullSafe(F.col("__g"))) & (F.col("__r") == F.col("__range")))
+    return out.withColumn(name, F.col("__before") + F.col("__own")).drop("__order", "__r", "__own", "__g", "__range", "__before")
+
+
 def interleave(documents: DataFrame, group: str, order: list, wanted: list[str]) -> DataFrame:
     """Documents of the wanted groups in turns, each by ``order``; other groups after all. Adds ``ordinal`` from 0.
 
@@ -127,15 +154,15 @@ def interleave(documents: DataFrame, group: str, order: list, wanted: list[str])
     """
     place = F.array_position(F.array(*[F.lit(x) for x in wanted]), F.col(group)).cast("int")
     place = F.when(F.coalesce(place, F.lit(0)) == 0, len(wanted) + 1).otherwise(place)
-    d = documents.withColumn("__g", F.when(place > len(wanted), "").otherwise(F.col(group))).withColumn("__p", place)
-    d = d.withColumn("__turn", F.row_number().over(W.partitionBy("__g").orderBy(*order)) - 1)
-    sizes = {r["__g"]: r["n"] for r in d.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each wanted group
+    d = documents.withColumn("__g2", F.when(place > len(wanted), "").otherwise(F.col(group))).withColumn("__p", place)
+    d = ranked(d, "__g2", order, "__turn")
+    sizes = {r["__g2"]: r["n"] for r in d.groupBy("__g2").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each wanted group
     known = [sizes.get(g, 0) for g in wanted]
     turn, p = F.col("__turn"), F.col("__p")
     before = sum((F.least(turn, F.lit(n)) for n in known), F.lit(0))
     same = sum((F.when((F.lit(k + 1) < p) & (turn < n), 1).otherwise(0) for k, n in enumerate(known)), F.lit(0))
     ordinal = F.when(p > len(wanted), F.lit(sum(known)) + turn).otherwise(before + same)
-    return d.withColumn("ordinal", ordinal.cast("bigint")).drop("__g", "__p", "__turn")
+    return d.withColumn("ordinal", ordinal.cast("bigint")).drop("__g2", "__p", "__turn")
 
 
 def page(candidates: DataFrame, after: int = -1, documents: int = PAGE, scan: int = SCAN, signs: int = PAGE_SIGNS) -> DataFrame:

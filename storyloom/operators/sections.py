@@ -46,3 +46,24 @@ def intersect(a: DataFrame, b: DataFrame, key: str = "document_id") -> DataFrame
     y = b.select(key, F.col("name").alias("name_b"), F.col("start").alias("s2"), F.col("stop").alias("e2"))
     both = x.join(y, key).select(key, "name_a", "name_b", F.greatest("s1", "s2").alias("start"), F.least("e1", "e2").alias("stop"))
     return both.where("start <= stop")
+
+
+#: A line that opens the part of an activity in a shared document, and the lines that close one.
+ACTIVITY_OPENS = r"^<活动名称>\s*(.+?)\s*</活动名称>$"
+ACTIVITY_ENDS_WITH, ACTIVITY_ENDS_BEFORE = "</相关内容>", "</所有相关的活动剧情总结>"
+
+
+def activity_ranges(lines: DataFrame, key: str = "document_id") -> DataFrame:
+    """(key, name, start, stop): the lines of each activity in documents that hold several.
+
+    A range starts at the line that names the activity. It ends before the next such line or the end of the container,
+    with the end of its own content, or at the last line. The windows see marker lines only.
+    """
+    text = F.trim(F.coalesce("text", F.lit("")))
+    name = F.nullif(F.trim(F.regexp_extract(text, ACTIVITY_OPENS, 1)), F.lit(""))
+    ends = F.when(text == ACTIVITY_ENDS_WITH, F.col("line_number")).when((text == ACTIVITY_ENDS_BEFORE) | name.isNotNull(), F.col("line_number") - 1)
+    t = lines.select(key, "line_number", name.alias("name"), ends.alias("__end")).where("__end IS NOT NULL")
+    nearest = F.first("__end").over(W.partitionBy(key).orderBy("line_number").rowsBetween(1, W.unboundedFollowing))
+    last = lines.groupBy(key).agg(F.max("line_number").alias("__last"))
+    out = t.withColumn("__stop", nearest).where("name IS NOT NULL").join(last, key)
+    return out.select(key, "name", F.col("line_number").alias("start"), F.coalesce("__stop", "__last").alias("stop")).where("start <= stop")

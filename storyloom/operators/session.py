@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 IDLE_SECONDS = 6 * 3600
+#: Sessions, queries of a session, and documents of a session that are held.
+MOST_SESSIONS = 256
+MOST_QUERIES = 256
+MOST_DOCUMENTS = 96
 #: Up to this many lines a stored interval counts as visible only in full, beyond it from this share on.
 SHORT_INTERVAL = 8
 VISIBLE_PERCENT = 90
@@ -20,6 +24,33 @@ def sessions(log: DataFrame, key: str, ts: str, idle: int = IDLE_SECONDS, order:
     return log.withColumn("__new", new).withColumn("session", F.sum("__new").over(by.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("__new")
 
 
+def versioned_sessions(log: DataFrame, key: str, ts: str, version: str, idle: int = IDLE_SECONDS) -> DataFrame:
+    """As ``sessions``, with a new one also where the data version is another than the last one the key said."""
+    by = W.partitionBy(key).orderBy(ts)
+    known = F.last(version, ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1))
+    gap = F.col(ts).cast("timestamp").cast("double") - F.lag(F.col(ts).cast("timestamp").cast("double")).over(by)
+    new = F.when((gap <= idle) & ~F.coalesce(F.col(version) != known, F.lit(False)), 0).otherwise(1)
+    return log.withColumn("__new", new).withColumn("session", F.sum("__new").over(by.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("__new")
+
+
+def live(log: DataFrame, key: str, ts: str, now: object, idle: int = IDLE_SECONDS, most: int = MOST_SESSIONS) -> DataFrame:
+    """(key, last) of the sessions still held at a time: those not idle for too long, of these the latest ``most``."""
+    last = log.where(F.col(ts) <= F.lit(now)).groupBy(key).agg(F.max(ts).alias("last"))
+    age = F.lit(now).cast("timestamp").cast("double") - F.col("last").cast("timestamp").cast("double")
+    return last.where(age <= idle).orderBy(F.desc("last"), key).limit(most)
+
+
+def latest(rows: DataFrame, key: str, order: list, most: int) -> DataFrame:
+    """Of each key the latest ``most`` rows, as a store with that many places keeps them."""
+    return rows.withColumn("__k", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("__k") <= most).drop("__k")
+
+
+def shown_markers(history: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line): the line markers ``L<digits>`` at the start of lines in shown texts, each once."""
+    found = F.regexp_extract_all(text, F.lit(r"(?m)^\W*L(\d{1,9})(?=\s)"), F.lit(1))
+    return history.select(key, F.explode(found).alias("line")).select(key, F.col("line").cast("int").alias("line")).distinct()
+
+
 def session_sizes(log: DataFrame, key: str, ts: str, idle: int = IDLE_SECONDS) -> DataFrame:
     """(key, session, entries, first, last)."""
     s = sessions(log, key, ts, idle)

@@ -293,11 +293,9 @@ def stage_code(spark: SparkSession, d: str) -> DataFrame:
 @query
 def natural_sort(spark: SparkSession, d: str) -> DataFrame:
     """Ranks within a game in natural order: digits by value."""
-    from pyspark.sql import Window as W
-
-    r = corpus.documents(spark, d)
-    rank = F.row_number().over(W.partitionBy("game").orderBy(tx.natural_key(F.col("document_id")), "document_id"))
-    return r.select("document_id", "game", rank.cast("bigint").alias("rank"))
+    r = corpus.documents(spark, d).select("document_id", "game")
+    ranks = search.ranked(r, "game", [tx.natural_key(F.col("document_id")).alias("k"), "document_id"])
+    return ranks.select("document_id", "game", (F.col("rank") + 1).cast("bigint").alias("rank"))
 
 
 @query
