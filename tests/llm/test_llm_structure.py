@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from storyloom.llm import align, mixing, pieces, spans
@@ -264,9 +265,11 @@ def test_statistics_over_all_sentences(spark):
     i = spark.createDataFrame(rows_, "row_id bigint, text_id string, lang string, text_offset bigint, text string")
     c = spark.createDataFrame([(f"t{d}", ["CN", "EN"]) for d in range(0, len(said), 6)], "text_id string, languages array<string>")
     for most in (align.FIT_PAIRS, 50):
-        (_, shares), back = align.lexicons(align.sentences_of(i, c), most)["CN>EN"]
-        assert shares["opal"] == (0.5, 0.5) and shares["the"] == (1.0, 1.0) and shares["times"] == (0.5, 1.0)
-        assert back[1]["甲"] == (0.5, 0.5)
+        forth, back = align.models_of(align.tokenised(align.sentences_of(i, c)), most)["CN>EN"]
+        share = lambda model, token: tuple(float(x[0]) for x in model.known(np.array([align.token_id(token)])))
+        assert share(forth, "opal") == (0.5, 0.5) and share(forth, "the") == (1.0, 1.0) and share(forth, "times") == (0.5, 1.0)
+        assert share(back, "甲") == (0.5, 0.5)
+        assert abs(sum(forth.jumps) + forth.far - 1) < 1e-9 and forth.jumps[0] > 0.7 and 0 < forth.null < 0.2
 
 
 # --- mixing --------------------------------------------------------------------------------------------------------
