@@ -1,13 +1,16 @@
-"""Snapshots of a corpus: writing with an atomic pointer, totals, content roots, and checks as queries that must be empty."""
+"""Snapshots of a corpus: writing with an atomic pointer, totals, content roots, and checks as queries that must be empty.
+
+Pointers and manifests go through Hadoop's file systems, as tables do, so a root may be on any of them. A new pointer is
+written beside the old one and renamed over it, which those file systems that can rename do in one step.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
-import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,127}")
 HASH = re.compile(r"[0-9a-f]{64}")
 MOST_POINTER_BYTES = 64 * 1024
+MOST_MANIFEST_BYTES = 8 << 20
 
 
 class SnapshotError(ValueError):
@@ -44,6 +48,60 @@ def content_root(parts: dict[str, str]) -> str:
     return hashlib.sha256(json.dumps(parts, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
+class _Files:
+    """The file system of a root, through the session's Hadoop."""
+
+    def __init__(self, root: str):
+        spark = SparkSession.getActiveSession()
+        if spark is None:
+            raise SnapshotError("there is no session")
+        self.gateway = spark.sparkContext._gateway
+        self.fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.at = self.path(root).getFileSystem(self.conf)
+
+    def path(self, name: str):
+        return self.fs.Path(name)
+
+    def status(self, name: str):
+        """The state of a file, of a link itself and not of what it leads to; None if there is none."""
+        context = self.fs.FileContext.getFileContext(self.at.getUri(), self.conf)
+        try:
+            return context.getFileLinkStatus(self.at.makeQualified(self.path(name)))
+        except Exception:
+            return None
+
+    def read(self, name: str, most: int) -> bytes:
+        size = self.at.getFileStatus(self.path(name)).getLen()
+        if size > most:
+            raise SnapshotError(f"{name} is too large")
+        stream = self.at.open(self.path(name))
+        try:
+            return bytes(stream.readNBytes(int(size)))
+        finally:
+            stream.close()
+
+    def put(self, name: str, data: bytes) -> None:
+        beside = f"{name}.{uuid.uuid4().hex}"
+        stream = self.at.create(self.path(beside), True)
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+        over = getattr(self.fs, "Options$Rename")
+        how = self.gateway.new_array(over, 1)
+        how[0] = over.OVERWRITE
+        context = self.fs.FileContext.getFileContext(self.at.getUri(), self.conf)
+        context.rename(self.at.makeQualified(self.path(beside)), self.at.makeQualified(self.path(name)), how)
+
+    def folders(self, name: str) -> list[str]:
+        return [s.getPath().getName() for s in self.at.listStatus(self.path(name)) if s.isDirectory()]
+
+
+def _json(value: dict) -> bytes:
+    return json.dumps(value, ensure_ascii=False, sort_keys=True).encode()
+
+
 def write(tables: dict[str, DataFrame], root: str, snapshot_id: str) -> str:
     """Write tables as snapshot ``snapshot_id`` under ``root`` and point ``current.json`` to it; returns the data version."""
     if not ID.fullmatch(snapshot_id) or ".." in snapshot_id:
@@ -61,24 +119,21 @@ def write(tables: dict[str, DataFrame], root: str, snapshot_id: str) -> str:
 
 def put_json(path: str, value: dict) -> None:
     """Write beside the target, then rename over it."""
-    fd, temporary = tempfile.mkstemp(dir=os.path.dirname(path))
-    with os.fdopen(fd, "w") as f:
-        json.dump(value, f, ensure_ascii=False, sort_keys=True)
-    os.replace(temporary, path)
+    _Files(path.rsplit("/", 1)[0]).put(path, _json(value))
 
 
 def current(root: str) -> dict:
     """The pointer: a small regular file with a valid id and version."""
-    path = f"{root}/current.json"
-    if os.path.islink(path) or not os.path.isfile(path):
+    path, files = f"{root}/current.json", _Files(root)
+    status = files.status(path)
+    if status is None or status.isSymlink() or not status.isFile():
         raise SnapshotError("no pointer")
-    if os.path.getsize(path) > MOST_POINTER_BYTES:
-        raise SnapshotError("the pointer is too large")
     try:
-        with open(path) as f:
-            value = json.load(f)
+        value = json.loads(files.read(path, MOST_POINTER_BYTES))
         good = ID.fullmatch(value["snapshot_id"]) and HASH.fullmatch(value["data_version"])
-    except (ValueError, KeyError, TypeError) as e:
+    except SnapshotError:
+        raise
+    except Exception as e:  # also what the file system says of an altered file
         raise SnapshotError("the pointer can't be read") from e
     if not good:
         raise SnapshotError("the pointer is not valid")
@@ -87,41 +142,71 @@ def current(root: str) -> dict:
 
 def safe_path(root: str, relative: str) -> str:
     """A path below ``root``; anything that leads out of it is refused."""
-    if not relative or relative.startswith("/") or "\\" in relative or any(p in ("", ".", "..") for p in relative.split("/")):
+    parts = relative.split("/")
+    if not relative or relative.startswith("/") or "\\" in relative or any(p in ("", ".", "..") for p in parts):
         raise SnapshotError(f"not a safe path: {relative!r}")
-    path = os.path.realpath(os.path.join(root, relative))
-    if not path.startswith(os.path.realpath(root) + os.sep):
-        raise SnapshotError(f"leads out of the snapshot: {relative!r}")
-    return path
-
-
-def load(spark: SparkSession, root: str, check: bool = True) -> dict[str, DataFrame]:
-    """The tables of the current snapshot; with ``check`` their digests and the root must agree."""
-    pointer = current(root)
-    with open(safe_path(root, f"{pointer['snapshot_id']}/manifest.json")) as f:
-        manifest = json.load(f)
-    if content_root(manifest["parts"]) != pointer["data_version"]:
+    files, at = _Files(root), root.rstrip("/")
+    for p in parts:
+        at = f"{at}/{p}"
+        status = files.status(at)
+        if status is not None and status.isSymlink():
+            raise SnapshotError(f"leads out of the snapshot: {relative!r}")
+    return at
+
+
+def manifest(root: str, snapshot_id: str, version: str | None = None) -> dict:
+    """The manifest of a snapshot; its parts must give its version, and that which is asked for."""
+    path = safe_path(root, f"{snapshot_id}/manifest.json")
+    try:
+        value = json.loads(_Files(root).read(path, MOST_MANIFEST_BYTES))
+        parts = value["parts"]
+        good = value["snapshot_id"] == snapshot_id and all(ID.fullmatch(n) and HASH.fullmatch(h) for n, h in parts.items())
+    except SnapshotError:
+        raise
+    except Exception as e:
+        raise SnapshotError(f"the manifest of {snapshot_id} can't be read") from e
+    if not good or content_root(parts) != value["data_version"] or version not in (None, value["data_version"]):
         raise SnapshotError("the manifest is not of this version")
-    out = {}
-    for name, digest in manifest["parts"].items():
-        out[name] = spark.read.parquet(f"{root}/{pointer['snapshot_id']}/{name}.parquet")
-        if check and row_digest(out[name]).first()["digest"] != digest:
-            raise SnapshotError(f"{name} was altered")
-    return out
+    return value
+
+
+def load(spark: SparkSession, root: str, check: bool = True, tries: int = 3) -> dict[str, DataFrame]:
+    """The tables of the current snapshot; with ``check`` their digests and the root must agree.
+
+    If the pointer moves on in the meantime, the tables it points to then are loaded instead, so none are mixed.
+    """
+    for _ in range(tries):
+        pointer = current(root)
+        parts = manifest(root, pointer["snapshot_id"], pointer["data_version"])["parts"]
+        out = {}
+        for name, digest in parts.items():
+            out[name] = spark.read.parquet(f"{root}/{pointer['snapshot_id']}/{name}.parquet")
+            if check and row_digest(out[name]).first()["digest"] != digest:
+                raise SnapshotError(f"{name} was altered")
+        if current(root) == pointer:
+            return out
+    raise SnapshotError("the pointer keeps moving")
 
 
 def snapshots(root: str) -> list[dict]:
     """All complete snapshots, the current one first, then by id."""
-    now = current(root)["snapshot_id"]
-    found = [x for x in os.listdir(root) if os.path.isfile(f"{root}/{x}/manifest.json")]
+    now, files = current(root)["snapshot_id"], _Files(root)
+    found = [x for x in files.folders(root) if files.status(f"{root}/{x}/manifest.json") is not None]
     return [{"snapshot_id": x, "active": x == now} for x in sorted(found, key=lambda x: (x != now, x))]
 
 
 def activate(root: str, snapshot_id: str) -> None:
-    """Point to another complete snapshot."""
-    with open(safe_path(root, f"{snapshot_id}/manifest.json")) as f:
-        manifest = json.load(f)
-    put_json(f"{root}/current.json", {"snapshot_id": snapshot_id, "data_version": manifest["data_version"]})
+    """Point to another complete snapshot, whose manifest is sound."""
+    put_json(f"{root}/current.json", {"snapshot_id": snapshot_id, "data_version": manifest(root, snapshot_id)["data_version"]})
+
+
+def delete(root: str, snapshot_id: str) -> None:
+    """Remove a snapshot that is not the current one; its manifest goes first, so it is incomplete from then on."""
+    if current(root)["snapshot_id"] == snapshot_id:
+        raise SnapshotError("the current snapshot can't be deleted")
+    files = _Files(root)
+    files.at.delete(files.path(safe_path(root, f"{snapshot_id}/manifest.json")), False)
+    files.at.delete(files.path(safe_path(root, snapshot_id)), True)
 
 
 def problems(documents: DataFrame, lines: DataFrame) -> DataFrame:

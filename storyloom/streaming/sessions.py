@@ -34,8 +34,28 @@ def first_queries(log: DataFrame, key: str, signature: str, ts: str, late: str =
     return log.withWatermark(ts, late).dropDuplicatesWithinWatermark([key, signature])
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process what is there now and return the result as a table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, name: str, folder: str, mode: str = "append") -> DataFrame:
+    """Process what is there now and return the result as a table in ``folder``, which executors share.
+
+    Each batch is written to a place of its own, so that one that is run again replaces itself. In complete mode the last
+    batch is the result, in append mode all of them are.
+    """
+    spark, out = stream.sparkSession, f"{folder}/result"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = stream.writeStream.queryName(name).outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    last = query.lastProgress["batchId"] if query.lastProgress else None
+    empty = spark.createDataFrame([], stream.schema)
+    if last is None:
+        return empty
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(out)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return empty
+    batches = sorted(int(s.getPath().getName().split("=")[1]) for s in files.listStatus(root))
+    kept = batches[-1:] if mode == "complete" else batches
+    return spark.read.schema(stream.schema).parquet(*[f"{out}/batch={n}" for n in kept])

@@ -120,6 +120,15 @@ def test_snapshot(spark, tmp_path):
     assert v1 != v2 and [s["snapshot_id"] for s in snapshot.snapshots(root)] == ["two", "one"]
     snapshot.activate(root, "one")
     df.limit(1).write.mode("overwrite").parquet(f"{root}/one/t.parquet")
+    snapshot.write({"t": df}, root, "three")
+    snapshot.activate(root, "one")
+    with pytest.raises(snapshot.SnapshotError):
+        snapshot.delete(root, "one")
+    snapshot.delete(root, "three")
+    assert {x["snapshot_id"] for x in snapshot.snapshots(root)} == {"one", "two"}
+    for bad in ("three", "../one"):
+        with pytest.raises(snapshot.SnapshotError):
+            snapshot.activate(root, bad)
     with pytest.raises(snapshot.SnapshotError, match="altered"):
         snapshot.load(spark, root)
     for bad in ("../x", "/x", "a/../b", "", "a//b", "a\\b"):
@@ -190,3 +199,23 @@ def test_i18n_page_against_a_loop(spark):
                 break
         got = [(r.text_id, r.shown) for r in localisation.page(texts, budget, 20).orderBy("ord").collect()]
         assert got == expected, budget
+
+
+def test_required_and_missing(spark):
+    df = lambda *x: spark.createDataFrame([(k,) for k in x], "k int")
+    assert rows(snapshot.missing(df(1, 2, 2, 3), df(2, 9), "k")) == [(1,), (3,)] and snapshot.missing(df(1), df(1), "k").count() == 0
+
+
+def test_streams_come_out_as_tables(spark, tmp_path):
+    from storyloom.streaming import sessions as streaming
+
+    log = spark.createDataFrame([(1, "a", "2024-01-01 00:00:00"), (1, "a", "2024-01-01 00:00:05"), (1, "b", "2024-01-01 00:00:06"), (2, "a", "2024-01-01 09:00:00")], "u int, q string, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
+    log.write.parquet(f"{tmp_path}/log.parquet")
+    read_ = lambda: streaming.read_log(spark, f"file://{tmp_path}", "log.parquet", log)
+    out = streaming.run_once(streaming.session_sizes(read_(), "u", "ts"), "s1", f"file://{tmp_path}/one", "complete")
+    assert sorted((r.u, r.entries) for r in out.collect()) == [(1, 3), (2, 1)]
+    out = streaming.run_once(streaming.first_queries(read_(), "u", "q", "ts"), "s2", f"file://{tmp_path}/two")
+    assert sorted((r.u, r.q) for r in out.collect()) == [(1, "a"), (1, "b"), (2, "a")]
+    log.limit(0).write.parquet(f"{tmp_path}/none.parquet")
+    none = streaming.read_log(spark, f"file://{tmp_path}", "none.parquet", log)
+    assert streaming.run_once(streaming.first_queries(none, "u", "q", "ts"), "s3", f"file://{tmp_path}/three").count() == 0
