@@ -12,7 +12,7 @@ from storyloom.functions import text as tx
 from storyloom.operators import entities, localisation, read, search, sections, session, shred, snapshot, timeline
 from storyloom.plans.oracle import ORACLE as ORACLE
 from storyloom.sources import corpus
-from storyloom.sources.tables import materialise, table
+from storyloom.sources.tables import materialise, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -202,6 +202,93 @@ def preview_cost(spark: SparkSession, d: str) -> DataFrame:
     return cost.withColumn("fits", (F.col("chars") <= 600).cast("bigint"))
 
 
+# --- requests ------------------------------------------------------------------------------------------------------
+def _corpus(spark: SparkSession, d: str):
+    from storyloom.tools.corpus import Corpus
+
+    return Corpus(corpus.documents(spark, d), table(spark, d, "search_lines"), entities=table(spark, d, "entities"), timelines=table(spark, d, "activity_timelines"), i18n=table(spark, d, "i18n"), i18n_catalog=table(spark, d, "i18n_catalog"))
+
+
+@query
+def request_scope(spark: SparkSession, d: str) -> DataFrame:
+    """The documents a request's filters leave."""
+    from storyloom.tools import requests, search as tool
+
+    r = requests.search_request({"resource_types": ["operator_record"], "games": ["game_a", "game_b"], "content_types": ["dialogue", "knowledge"]})
+    return tool.scope(_corpus(spark, d), r).select("document_id", "game", "resource_type", "content_type")
+
+
+@query
+def request_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The documents a literal request looks at, in order."""
+    from storyloom.tools import requests, search as tool
+
+    return tool.candidates(_corpus(spark, d), requests.search_request({"query": WORD})).select("document_id", "ordinal")
+
+
+@query
+def request_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The lines a request with context terms matches."""
+    from storyloom.tools import requests, search as tool
+
+    c, r = _corpus(spark, d), requests.search_request({"query": WORD, "context_terms": ["storm"]})
+    found = tool.matches(c, r, tool.scope(c, r))
+    return found.select("document_id", *big("line_number", "start", "score", "low", "high"))
+
+
+@query
+def request_items(spark: SparkSession, d: str) -> DataFrame:
+    """What a request for a speaker shows of each document."""
+    from storyloom.tools import requests, search as tool
+
+    c, r = _corpus(spark, d), requests.search_request({"speakers": [SPEAKER]})
+    return tool.items(c, r, tool.scope(c, r)).select("document_id", "field", "kind", *big("first", "last", "hits", "score", "rank"))
+
+
+@query
+def document_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The fixed fields of every document that the table has, the empty text for what is missing."""
+    own = ("document_id", "display_title", "document_type", "document_kind", "document_category", "activity_id", "activity_name", "story_code", "part_type", "previous_document_id", "next_document_id", "collection_name", "path")
+    described = _corpus(spark, d).described()
+    return described.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in own if c != "collection_name"])
+
+
+@query
+def index_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by a stored index of grams: written once, read by the grams asked for."""
+    from storyloom.operators import index
+
+    path = scratch(spark, "index")
+    texts = corpus.delivered(spark, d, "text").select("document_id", "text").where(F.length("text") > 0)
+    index.build(texts, path, sizes=(3,), form=F.lower("text"))
+    return index.documents_with(index.load(spark, path), tx.query_ngrams("crystal"))
+
+
+@query
+def index_postings(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each speaker's grams stand in, and the length of their packed lists."""
+    from storyloom.operators import index
+
+    texts = corpus.delivered(spark, d, "speaker_raw").select("document_id", F.col("speaker_raw").alias("text")).where(F.length("text") > 0)
+    lists = index.postings(index.grams(texts, F.lower("text"), (2,)))
+    return lists.groupBy("gram").agg(F.sum("n").alias("documents"))
+
+
+@query
+def index_key_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the files of an index hold ranges of grams that do not overlap, and all rows."""
+    from pyspark.sql import Window as W
+
+    from storyloom.operators import index
+
+    path = scratch(spark, "index")
+    texts = corpus.documents(spark, d).select("document_id", F.col("display_title").alias("text")).where(F.length("text") > 0)
+    index.build(texts, path, sizes=(3,), form=F.lower("text"), files=4)
+    spans = index.key_ranges(index.load(spark, path))
+    after = F.lead("first").over(W.orderBy("first"))  # a row for each file
+    return spans.withColumn("next", after).agg(F.sum("rows").alias("rows"), F.count_if(F.col("next") <= F.col("last")).alias("overlaps"))
+
+
 # --- grams ---------------------------------------------------------------------------------------------------------
 @query
 def gram_postings(spark: SparkSession, d: str) -> DataFrame:
@@ -487,6 +574,21 @@ def timeline_provenance(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_id").agg(F.countDistinct("row_id").alias("rows"))
 
 
+@query
+def timeline_marker(spark: SparkSession, d: str) -> DataFrame:
+    """The events a marker in a text names."""
+    e = timeline.events(table(spark, d, "activity_timelines"))
+    return timeline.by_marker(e, "年表出处:tle_0057923ece109afde7761193, tle_011f3d2f73bbbe11c173d960").select("row_id", "event_pos", "event_id")
+
+
+@query
+def timeline_shown_times(spark: SparkSession, d: str) -> DataFrame:
+    """The times of events as they are shown."""
+    e = timeline.events(table(spark, d, "activity_timelines"))
+    shown = fuzzytime.display(F.col("time_text"), F.col("time_section"), F.col("time_year_start").try_cast("int"), F.col("time_year_end").try_cast("int"))
+    return e.select("row_id", "event_pos", shown.alias("shown"))
+
+
 # --- localisation --------------------------------------------------------------------------------------------------
 @query
 def i18n_exact(spark: SparkSession, d: str) -> DataFrame:
@@ -495,6 +597,20 @@ def i18n_exact(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("lang", "form").agg(F.count(F.lit(1)).alias("places"), F.countDistinct("text_id").alias("texts"))
 
 
+@query
+def i18n_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The places a sentence stands at word for word."""
+    e = localisation.dictionary(table(spark, d, "i18n"))
+    return localisation.exact(e, "fenwensil found the dark engine inside the cold store in the ninth month.", tx.plain_form(F.col("text"))).select("text_id", "lang", "text_offset", "row_id")
+
+
+@query
+def i18n_document_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that refer to a line of a document."""
+    found = localisation.by_line(table(spark, d, "i18n_catalog"), "official:story:th_127", 5)
+    return found.select("text_id", *big("line_start", "line_end"), "field")
+
+
 @query
 def i18n_literal(spark: SparkSession, d: str) -> DataFrame:
     e = localisation.dictionary(table(spark, d, "i18n"))
@@ -583,15 +699,11 @@ def coverage_ranges(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     """``session_reset`` as a stream over the same file, run to its end."""
-    import uuid
-
-    from storyloom.sources.tables import shared_dir
     from storyloom.streaming import sessions as streaming
 
-    like = table(spark, d, "events")
-    log = streaming.read_log(spark, d, "events.parquet", like)
-    name = f"sessions_{uuid.uuid4().hex[:12]}"
-    out = streaming.run_once(streaming.session_sizes(log, "user_id", "ts"), name, f"{shared_dir(spark)}/{name}", "complete")
+    log = streaming.read_log(spark, d, "events.parquet", table(spark, d, "events"))
+    folder = scratch(spark, "sessions")
+    out = streaming.run_once(streaming.session_sizes(log, "user_id", "ts"), folder.rsplit("/", 1)[-1], folder, "complete")
     return out.select("user_id", F.col("w.start").alias("first"), "last", "entries")
 
 

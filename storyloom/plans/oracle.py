@@ -190,6 +190,29 @@ SELECT document_id FROM q WHERE n = 5""",
 c AS (SELECT document_id FROM q WHERE n = 5 UNION SELECT document_id FROM search_records WHERE contains(lower(display_title), 'kx-1'))
 SELECT document_id FROM c WHERE document_id IN (SELECT document_id FROM search_records WHERE game = 'game_a')""",
     "short_literal_scan": f"WITH {_L} SELECT DISTINCT document_id FROM l WHERE contains(lower(text), 'xo')",
+    "request_scope": """SELECT document_id, CASE WHEN lower(trim(game)) IN ('game_a', 'game_b') THEN lower(trim(game)) WHEN contains(lower(document_id), 'game_b:') THEN 'game_b' ELSE 'game_a' END AS game, 'operator_record' AS resource_type, 'dialogue' AS content_type
+FROM search_records WHERE document_type = 'story' AND document_category = 'memory' AND lower(document_kind) IN ('story', 'synopsis')""",
+    "request_candidates": f"""WITH {_L}, q AS (SELECT document_id, count(DISTINCT g.gram) AS n FROM l JOIN (VALUES ('rea'), ('eac'), ('act'), ('cto'), ('tor')) g(gram) ON contains(lower(text), g.gram) GROUP BY document_id HAVING count(DISTINCT g.gram) = 5),
+c AS (SELECT document_id, CASE lower(trim(game)) WHEN 'game_a' THEN 1 ELSE 2 END AS g FROM search_records WHERE document_id IN (SELECT document_id FROM q) OR contains(lower(concat_ws(chr(10), display_title, activity_name, story_code)), 'reactor')),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY document_id) AS turn FROM c) SELECT document_id, row_number() OVER (ORDER BY turn, g) - 1 AS ordinal FROM r""",
+    "request_matches": f"""WITH {_L}, f AS (SELECT document_id, line_number, line_type, text, {_plain("CASE WHEN line_type = 'dialogue' AND coalesce(speaker_raw, '') != '' AND starts_with(text, speaker_raw || ':') THEN ltrim(substr(text, length(speaker_raw) + 2)) ELSE text END")} AS form, {_plain('text')} AS whole FROM l),
+h AS (SELECT document_id, line_number, instr(form, 'reactor') - 1 AS start FROM f WHERE contains(form, 'reactor')),
+t AS (SELECT h.document_id, h.line_number, h.start, min(f.line_number) AS line FROM h JOIN f ON f.document_id = h.document_id AND abs(f.line_number - h.line_number) <= 3 AND contains(f.whole, 'storm') GROUP BY ALL)
+SELECT document_id, line_number::BIGINT AS line_number, start::BIGINT AS start, {_score('start')}::BIGINT AS score, least(line_number, line)::BIGINT AS low, greatest(line_number, line)::BIGINT AS high FROM t WHERE document_id IN (SELECT document_id FROM search_records)""",
+    "request_items": f"""WITH {_L}, y AS (SELECT document_id, line_number, 500 AS score FROM l WHERE speaker_raw = 'Moxorjo' AND document_id IN (SELECT document_id FROM search_records)), {_passages('y')}
+SELECT document_id, 'speaker_raw' AS field, 'speaker' AS kind, first::BIGINT AS first, last::BIGINT AS last, hits::BIGINT AS hits, score::BIGINT AS score, rank::BIGINT AS rank FROM best""",
+    "document_summary": "SELECT " + ", ".join(f"coalesce({c}, '') AS {c}" for c in ("document_id", "display_title", "document_type", "document_kind", "document_category", "activity_id", "activity_name", "story_code", "part_type", "previous_document_id", "next_document_id")) + ", '' AS path FROM search_records",
+    "index_lookup": f"""WITH {_L} SELECT document_id FROM l JOIN (VALUES ('cry'), ('rys'), ('yst'), ('sta'), ('tal')) g(gram) ON contains(lower(text), g.gram) GROUP BY document_id HAVING count(DISTINCT g.gram) = 5""",
+    "index_postings": """WITH g AS (SELECT document_id, lower(speaker_raw) AS t, unnest(range(1, length(speaker_raw))) AS i FROM search_lines WHERE length(speaker_raw) > 1 AND document_id IS NOT NULL AND line_number IS NOT NULL)
+SELECT substr(t, i::BIGINT, 2) AS gram, count(DISTINCT document_id) AS documents FROM g GROUP BY 1""",
+    "index_key_ranges": """WITH g AS (SELECT document_id, lower(display_title) AS t, unnest(range(1, length(display_title) - 1)) AS i FROM search_records WHERE length(display_title) > 2)
+SELECT count(DISTINCT (document_id, substr(t, i::BIGINT, 3))) AS rows, 0::BIGINT AS overlaps FROM g""",
+    "timeline_marker": f"WITH {_NESTED}, {_TIMES} SELECT row_id, event_pos::BIGINT AS event_pos, event_id FROM tl WHERE event_id IN ('tle_0057923ece109afde7761193', 'tle_011f3d2f73bbbe11c173d960')",
+    "timeline_shown_times": f"""WITH {_NESTED}, {_TIMES}, s AS (SELECT row_id, event_pos, ys, coalesce(ye, ys) AS ye, trim(coalesce(nullif(time_text, ''), nullif(time_section, ''), '时间不详')) AS t FROM tl),
+y AS (SELECT *, CASE WHEN ye != ys THEN ys || '-' || ye ELSE ys::VARCHAR END || ' 年' AS yy FROM s)
+SELECT row_id, event_pos::BIGINT AS event_pos, CASE WHEN regexp_matches(t, '年|世纪|纪元') OR ys IS NULL OR ys < 0 THEN t WHEN t = '时间不详' THEN yy ELSE yy || ' ' || t END AS shown FROM y""",
+    "i18n_lookup": f"WITH {_DICT} SELECT text_id, lang, text_offset, row_id FROM dict WHERE {_plain('text')} = 'fenwensil found the dark engine inside the cold store in the ninth month.'",
+    "i18n_document_texts": "WITH r AS (SELECT text_id, unnest(refs) AS r FROM i18n_catalog) SELECT text_id, r.line_start::BIGINT AS line_start, r.line_end::BIGINT AS line_end, r.field AS field FROM r WHERE r.document_id = 'official:story:th_127' AND 5 BETWEEN r.line_start AND r.line_end",
     "phrase_containment": "SELECT DISTINCT n.name_id, s.line_id FROM (SELECT name_id, name FROM canonical_names WHERE field = 'text') n JOIN search_lines s ON contains(s.text, n.name)",
     "longest_span_select": """WITH n AS (SELECT DISTINCT substr(canonical_name, 1, 2) AS alias, entity_id AS canonical FROM entities UNION SELECT canonical_name, entity_id FROM entities),
 t AS (SELECT entity_id, concat_ws(chr(10), canonical_name, description, history_summary) AS text FROM entities),

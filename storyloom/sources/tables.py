@@ -38,15 +38,21 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder, cleared when the process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/storyloom-{label}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, which cuts its lineage.
 
     Later readers prune columns and survive the loss of executors. The files go when the process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/storyloom-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
