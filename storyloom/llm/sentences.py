@@ -21,7 +21,9 @@ MARKS = ".!?…。！？｡ \t\u00a0\u3000\u202f\u2009"
 MASKS = "".join(chr(0xF8E0 + k) for k in range(len(MARKS)))
 DOT, BANG, QUERY, DOTS, STOP, WIDE_BANG, WIDE_QUERY, HALF_STOP = MASKS[:8]
 SEPARATOR = "\uf8ff"
-#: Stands for a text's own masks and separators.
+#: Set on both sides of quoted stretches.
+FENCE = "\uf8fe"
+#: Stands for a text's own masks, separators and fences.
 NEUTRAL = "\uf8df"
 
 #: Quotes and brackets: opening sign and closing signs that may answer it.
@@ -62,12 +64,14 @@ OPENERS = "".join(a for a, _ in QUOTES)
 
 
 def _mask_quoted(text: Column) -> Column:
-    """Mask every mark between a quote or bracket and the one that closes it in the same line."""
-    openers = "".join(f"\\Q{a}\\E" for a in OPENERS)
-    spans = [f"\\Q{a}\\E[^{BREAK}\\Q{b}\\E]*+[\\Q{b}\\E]" for a, b in QUOTES]
-    tokens = F.regexp_extract_all(text, F.lit(f"(?s)[^{openers}]++|" + "|".join(spans) + "|."), F.lit(0))
-    quoted = lambda x: (F.length(x) > 1) & F.substring(x, 1, 1).isin([a for a, _ in QUOTES])
-    return F.array_join(F.transform(tokens, lambda x: F.when(quoted(x), F.translate(x, MARKS, MASKS)).otherwise(x)), "")
+    """Mask every mark between a quote or bracket and the one that closes it in the same line.
+
+    Each such stretch is fenced, so that a split at the fences gives what is outside and inside in turns. (Matches are not
+    extracted, as each of those copies the whole text.)
+    """
+    spans = "|".join(f"\\Q{a}\\E[^{BREAK}\\Q{b}\\E]*+[\\Q{b}\\E]" for a, b in QUOTES)
+    parts = F.split(F.regexp_replace(text, F.lit(spans), F.lit(f"{FENCE}$0{FENCE}")), FENCE)
+    return F.array_join(F.transform(parts, lambda x, k: F.when(k % 2 == 1, F.translate(x, MARKS, MASKS)).otherwise(x)), "")
 
 
 def _dots() -> str:
@@ -132,9 +136,10 @@ def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, start_pos, end_pos, sentence): each sentence of the column ``text`` with its place in it."""
     t = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.length(F.btrim("__text", F.lit(WHITE))) > 0)
     m = F.col("__m")
-    clash = F.col("__text").rlike("[" + MASKS + SEPARATOR + "]")
+    own = MASKS + SEPARATOR + FENCE
+    clash = F.col("__text").rlike("[" + own + "]")
     # one projection for each step: what is used twice is computed once
-    t = t.withColumn("__m", F.when(clash, F.translate("__text", MASKS + SEPARATOR, NEUTRAL * (len(MASKS) + 1))).otherwise(F.col("__text")))
+    t = t.withColumn("__m", F.when(clash, F.translate("__text", own, NEUTRAL * len(own))).otherwise(F.col("__text")))
     t = t.withColumn("__m", F.when(m.rlike("[" + "".join(f"\\Q{a}\\E" for a in OPENERS) + "]"), _mask_quoted(m)).otherwise(m))
     t = t.withColumn("__m", F.when(m.contains("."), F.regexp_replace(F.regexp_replace(m, F.lit("(?m)" + _dots()), F.lit(DOT)), F.lit("(?m)" + LIST_DOT), F.lit("$1" + DOT))).otherwise(m))
     t = t.withColumn("__m", F.when(m.contains("…"), F.regexp_replace(m, F.lit(_ellipses()), F.lit(DOTS))).otherwise(m))

@@ -195,6 +195,16 @@ def test_own_private_use_signs_end_nothing(spark):
     assert all(texts[r.doc_id][r.start_pos : r.end_pos] == r.sentence for r in got)
 
 
+def test_own_fences_and_open_quotes(spark):
+    texts = ["One \uf8fe two. “Three\uf8fe. Four.” Five.", "(open. Not closed.\nNew (one. two) three.", "“a. b” «c. d» [e. f]. Next."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = sorted(sentences.sentences(df, "doc_id", "text").collect())
+    assert [r.sentence for r in got] == [
+        "One \uf8fe two.", "“Three\uf8fe. Four.”", "Five.", "(open.", "Not closed.", "New (one. two) three.", "“a. b” «c. d» [e. f].", "Next.",
+    ]
+    assert all(texts[r.doc_id][r.start_pos : r.end_pos] == r.sentence for r in got)
+
+
 def test_list_marks_and_ellipses_of_any_width(spark):
     texts = [" " * 12 + "1. Foo bar.\n" + " " * 30 + "12345678. Baz.", "他说" + "…" * 14 + " She left."]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
