@@ -272,6 +272,70 @@ def test_statistics_over_all_sentences(spark):
         assert abs(sum(forth.jumps) + forth.far - 1) < 1e-9 and forth.jumps[0] > 0.7 and 0 < forth.null < 0.2
 
 
+def plain_fit(pairs):
+    """(given, token) -> chance by expectation maximisation with dictionaries, for keys met twice."""
+    t = {(g, e): 1.0 for x, y in pairs for g in [0, *x] for e in y}
+    often = {k: 0 for k in t}
+    for x, y in pairs:
+        for k in ((g, e) for g in [0, *x] for e in y):
+            often[k] += 1
+    for _ in range(align.ROUNDS):
+        counts, whole = dict.fromkeys(t, 0.0), {}
+        for x, y in pairs:
+            for e in y:
+                total = sum(t[g, e] for g in [0, *x])
+                for g in [0, *x]:
+                    counts[g, e] += t[g, e] / total
+        for (g, _e), n in counts.items():
+            whole[g] = whole.get(g, 0.0) + n
+        t = {k: n / whole[k[0]] for k, n in counts.items()}
+    return {k: v for k, v in t.items() if v >= align.FLOOR and often[k] >= 2 and k[0]}
+
+
+def test_models_are_fitted_on_all_pairs_and_texts(spark, monkeypatch):
+    rng = random.Random(6)
+    rare = [(f"rare{chr(97 + k)}w", chr(0x6000 + k)) for k in range(20)]
+    once = {d: rare[k] for k in range(20) for d in (2 * k, 200 + 11 * k)}  # each of these words is met in two texts
+    rows_, row, written = [], 0, []
+    for d in range(432):
+        s, v, t = rng.choice(SUBJECTS), rng.choice(VERBS), rng.choice(THINGS)
+        en, cn = once.get(d, ("", ""))
+        written.append((f"{s[1]}{v[1]}{t[1]}{cn}", f"{s[0]} {v[0]} the {t[0]} {en}"))
+        for lang, text in (("CN", f"{written[-1][0]}{1000 + d}次"), ("EN", f"{written[-1][1]} {1000 + d} times")):
+            rows_.append((row, f"t{d}", lang, 0, text))
+            row += 1
+        if d % 4 == 0:
+            rows_.append((row, f"t{d}", "EN", 1, f"{d + 5000} unrelated"))
+            row += 1
+    i = spark.createDataFrame(rows_, "row_id bigint, text_id string, lang string, text_offset bigint, text string")
+    c = spark.createDataFrame([(f"t{d}", ["CN", "EN"]) for d in range(432)], "text_id string, languages array<string>")
+    tokens = align.tokenised(align.sentences_of(i, c))
+    few, many = (align.models_of(tokens, most)["CN>EN"] for most in (50, align.FIT_PAIRS))
+    ids = align.Ids()
+    pairs = [([ids[x] for x in cn + "次"], [ids[x] for x in [*en.split(), "times"]]) for cn, en in written]
+    for way, (one, other) in enumerate(zip(few, many)):
+        learned = {(int(g), int(t)): c for k, g in enumerate(one.lexicon.given) for t, c in zip(*(a[one.lexicon.starts[k] : one.lexicon.starts[k + 1]] for a in (one.lexicon.tokens, one.lexicon.chances)))}
+        for en, cn in rare:
+            assert ((ids[cn], ids[en]) if way == 0 else (ids[en], ids[cn])) in learned
+        wanted = plain_fit([p if way == 0 else p[::-1] for p in pairs])
+        assert learned.keys() == wanted.keys() and all(abs(learned[k] - wanted[k]) < 1e-5 for k in wanted)
+        assert all(np.allclose(x, y, atol=1e-5) for x, y in ((one.lexicon.given, other.lexicon.given), (one.lexicon.tokens, other.lexicon.tokens), (one.lexicon.chances, other.lexicon.chances)))
+        # sentences without a partner are counted over all texts: 108 of 540 in English, none in Chinese
+        assert abs(one.null - ((108, 0)[way] + align.PRIOR * align.FIRST_NULL) / ((540, 432)[way] + align.PRIOR)) < 1e-9
+    monkeypatch.setattr(align, "DENSE", 0)
+    monkeypatch.setattr(align, "PIECE", 13)
+    sides = [np.array([0, 4, 6, 0, 4, 8]), np.array([3, 3]), np.array([0, 2, 0, 2, 10]), np.array([2, 3])]
+    keys, at, column, starts, wide = align._links(*sides)
+    links = [(x, y) for xs, ys in (((0, 4, 6), (0, 2)), ((0, 4, 8), (0, 2, 10))) for x in xs for y in ys]
+    assert [(int(k) >> 31, int(k) & (1 << 31) - 1) for k in keys[at]] == links and sides[2][column].tolist() == [y for _, y in links]
+    assert starts.tolist() == [0, 2, 4, 6, 9, 12] and wide.tolist() == [2, 2, 2, 3, 3, 3]
+    fits = []
+    for piece in (13, 1 << 18):  # DENSE and PIECE are read where the tasks are made
+        monkeypatch.setattr(align, "PIECE", piece)
+        fits.append(align._fitted(align.anchored(tokens), tokens, 100))
+    assert all(np.allclose(x[c], y[c], atol=1e-5) for x, y in zip(*fits) for c in ("given", "token", "chance", "units", "met"))
+
+
 # --- mixing --------------------------------------------------------------------------------------------------------
 def test_sainte_lague_against_plain_quotients():
     rng = random.Random(1)
